@@ -35,7 +35,7 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the plan's size; a bound for sizing partitions, read without a pass."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def group_count(df: DataFrame, target: int, least: int = 32) -> int:
