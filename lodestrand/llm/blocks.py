@@ -85,9 +85,8 @@ KEPT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kep
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _apply(left: pa.Table, right: pa.Table) -> pa.Table:
-    block = Block(left)
-    rows, starts, ends = unpack_all(right.column("blob").to_pylist(), np.int64, np.int64, np.int64)
+def keep_rest(block: Block, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
+    """The block's texts without these byte ranges of its rows."""
     n = len(block.data)
     edge = np.bincount(block.offs[rows] + starts, minlength=n + 1) - np.bincount(block.offs[rows] + ends, minlength=n + 1)
     gone = np.cumsum(edge)[:n] > 0
@@ -112,6 +111,10 @@ def _apply(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"doc_id": block.ids, "n_bytes": pa.array(np.diff(block.offs)), "spans": spans, "kept": out})
 
 
+def _apply(left: pa.Table, right: pa.Table) -> pa.Table:
+    return keep_rest(Block(left), *unpack_all(right.column("blob").to_pylist(), np.int64, np.int64, np.int64))
+
+
 def without(blocks: DataFrame, removed: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): each row's text without the ranges in ``removed``; spans are maximal."""
     return blocks.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(_apply, KEPT)
