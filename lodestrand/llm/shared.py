@@ -33,14 +33,19 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The optimizer's estimate where it knows nothing, and what a row counts then.
+UNKNOWN, ROW_BYTES = 1 << 60, 1000
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the plan's size; a bound for sizing partitions, read without a pass."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of the plan's size, read without a pass over files; rows are counted where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN else df.count() * ROW_BYTES
 
 
 def group_count(df: DataFrame, target: int, least: int = 32) -> int:
     """How many groups keep each near ``target`` estimated bytes; grows in proportion to the input."""
-    return max(least, min(estimated_bytes(df) // target, 1 << 30))
+    return max(least, estimated_bytes(df) // target)
 
 
 def texts(docs: DataFrame) -> DataFrame:
