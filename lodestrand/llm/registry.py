@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries; each has QUERIES and SQL.
-MODULES = ("line_dedup", "quality_rules", "warc", "suffix_dedup", "chunk_dedup", "simhash", "sentencepieces", "secrets")
+MODULES = ("line_dedup", "quality_rules", "warc", "suffix_dedup", "chunk_dedup", "simhash", "sentencepieces", "secrets", "quality_bayes")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
