@@ -65,14 +65,14 @@ def majority(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, fp, row_hash): fp is the fingerprint as a signed long, row_hash is ``xxhash64(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([simhash(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("row_hash")], ["doc_id", "fp", "row_hash"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).withColumn("row_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, row_hash long")
 
 
 def _table(fps: np.ndarray) -> np.ndarray:
@@ -192,16 +192,31 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.repartition(parts, "choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_links(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id of the component."""
-    fps = cut(fingerprints(docs, shingle), "fingerprints")
+def _named(fps: DataFrame, radius: int) -> DataFrame:
+    """``fps`` (with columns doc_id and fp) with ``of``: the root and the smallest doc_id of the component."""
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     roots = components(near_links(distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, "rooted")
-    per_root = cut(rooted.groupBy(F.col("root").alias("key")).agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), "components")
-    named = cut(lookup(rooted, F.col("root"), per_root, "component_id").select(F.col("fp").alias("key"), "component_id", "n"), "named")
-    return lookup(fps, F.col("fp"), named, "component_id")
+    per_root = rooted.groupBy(F.col("root").alias("key")).agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    per_root = cut(per_root.select("key", "n", F.struct(F.col("key").alias("root"), "component_id").alias("of")), "components")
+    return lookup(fps, F.col("fp"), cut(lookup(rooted, F.col("root"), per_root, "of").select(F.col("fp").alias("key"), "of", "n"), "named"), "of")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id of the component."""
+    named = _named(cut(fingerprints(docs, shingle), "fingerprints"), radius)
+    return named.select("doc_id", "fp", F.col("of.component_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` of each component, as it is: that of the smallest doc_id (null last), of its rows that of the smallest text hash."""
+    held = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"))
+    named = _named(cut(fingerprints(docs, shingle), "fingerprints"), radius)
+    first = named.groupBy("of.root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("d1"), F.col("first.row_hash").alias("d2"))
+    rows = held.join(kept, F.col("k1").eqNullSafe(F.col("d1")) & (F.col("k2") == F.col("d2")), "left_semi")
+    return rows.dropDuplicates(["k1", "k2"]).select("doc.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
