@@ -1,4 +1,4 @@
-"""Queries of the engine's own operators, by name."""
+"""Queries of the engine's own operators, by name, and their oracle SQL."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import event_queries, relation_queries, text_queries
+
+MODULES = (text_queries, event_queries, relation_queries)
+flagship = text_queries.flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
