@@ -181,60 +181,80 @@ def _send(key, left: pa.Table, right: pa.Table, width: int, n: int, hot: np.ndar
     return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate((("key", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())))})
 
 
-def suffix_order(sym: np.ndarray, width: int) -> np.ndarray:
-    """Positions of ``sym`` (circular) ordered by at least ``width`` symbols of under 2 ** 9, by prefix doubling."""
-    n = len(sym)
-    key, have = np.zeros(n, np.uint64), 0
-    while have < min(7, width):
-        key = (key << np.uint64(9)) | np.roll(sym, -have).astype(np.uint64)
-        have += 1
-    while True:
-        order = np.argsort(key, kind="stable")
-        if have >= width:
-            return order
-        ranked = key[order]
-        step = np.r_[0, np.cumsum(ranked[1:] != ranked[:-1])].astype(np.uint64)
-        if int(step[-1]) == n - 1:
-            return order
-        rank = np.empty(n, np.uint64)
-        rank[order] = step
-        key = (rank << np.uint64(32)) | np.roll(rank, -have)
+#: Symbols of the strings that the search starts from; nine bits each fill a word.
+SEED = 7
+
+
+def suffix_order(sym: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of ``sym`` (circular) ordered by at least ``width`` symbols of under 2 ** 9, and their first symbols as a word.
+
+    Prefix doubling; a rank is where the group of equal positions starts, and each round sorts only the
+    groups that still have several.
+    """
+    n, have = len(sym), min(SEED, width)
+    key, around = np.zeros(n, np.uint64), np.r_[sym, sym[:have]].astype(np.uint64)
+    for k in range(have):
+        key = (key << np.uint64(9)) | around[k : k + n]
+    order = np.argsort(key)
+    first = key[order]
+    new = np.r_[True, first[1:] != first[:-1]]
+    rank = np.empty(n, np.uint64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    while have < width:
+        at = np.flatnonzero(~(new & np.r_[new[1:], True]))
+        if not len(at):
+            break
+        here = order[at]
+        after = here + have
+        after[after >= n] -= n
+        key = (rank[here] << np.uint64(32)) | rank[after]
+        by_key = np.argsort(key)
+        order[at], key = here[by_key], key[by_key]
+        new[at] = np.r_[True, key[1:] != key[:-1]]
+        rank[order[at]] = at[np.maximum.accumulate(np.where(new[at], np.arange(len(at)), 0))]
         have *= 2
+    return order, first
 
 
-def bounded_lcp(bwt: np.ndarray, width: int) -> np.ndarray:
+def bounded_lcp(bwt: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
     """Common prefixes of neighbouring suffixes below ``width``, -1 where they are longer or run over a separator (symbol 0).
 
-    Breadth-first over the intervals of strings by length: ``turn[i]`` leads from a row to the row of the
-    suffix that is one symbol longer, so the first and last row with a symbol give the extended interval.
+    Breadth-first over the intervals of strings by length, from those of ``SEED`` symbols, which the sort
+    has set apart: ``turn[i]`` leads from a row to the row of the suffix that is one symbol longer, so the
+    first and last row with a symbol give the extended interval. An interval goes on if it is the first to
+    end at its place, which then has the common prefix of that round.
     """
-    n = len(bwt)
+    n, seed = len(bwt), min(SEED, width)
     turn = np.empty(n, np.int64)
-    turn[np.argsort(bwt, kind="stable")] = np.arange(n)
+    turn[np.argsort(bwt, kind="stable")] = np.arange(n)  # a radix sort
+    bits = int(n).bit_length()
     lcp = np.full(n + 1, -1, np.int16)
     lcp[0] = lcp[n] = 0
-    left, right = np.zeros(1, np.int64), np.full(1, n - 1, np.int64)
-    for length in range(width):
+    edge = np.flatnonzero(first[1:] != first[:-1]) + 1
+    below, above = first[edge - 1], first[edge]
+    lcp[edge] = sum((below >> np.uint64(9 * k) == above >> np.uint64(9 * k)).astype(np.int16) for k in range(1, seed)) if seed > 1 else 0
+    fresh = lcp[edge] == seed - 1
+    for k in range(1, seed):  # a string goes on unless a separator is in it but at its end
+        fresh &= (below >> np.uint64(9 * k)) & np.uint64(511) != 0
+    left, right = np.r_[0, edge[:-1]][fresh] if len(edge) else edge, edge[fresh] - 1
+    for length in range(seed, width):
         if not len(left):
             break
         size = right - left + 1
         one = size == 1
-        lo, hi, symbol = left[one], left[one], bwt[left[one]]
-        lo, hi = turn[lo], turn[hi]
+        lo, symbol = turn[left[one]], bwt[left[one]]
+        hi = lo
         if not one.all():
             l, s = left[~one], size[~one]
             owner = np.repeat(np.arange(len(l)), s)
             at = np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s) + l[owner]
-            group = owner * 512 + bwt[at]
-            order = np.argsort(group, kind="stable")
-            group, at = group[order], at[order]
+            key = np.sort((owner * 512 + bwt[at]) << bits | at)
+            group, at = key >> bits, key & ((1 << bits) - 1)
             new = np.r_[True, group[1:] != group[:-1]]
             lo = np.r_[lo, turn[at[new]]]
             hi = np.r_[hi, turn[at[np.r_[new[1:], True]]]]
             symbol = np.r_[symbol, group[new] % 512]
-        fresh = lcp[hi + 1] < 0
-        if length:
-            fresh &= symbol != 0
+        fresh = (lcp[hi + 1] < 0) & (symbol != 0)
         left, right = lo[fresh], hi[fresh]
         lcp[right + 1] = length
     return lcp[:n]
@@ -246,10 +266,10 @@ def later_windows(text: np.ndarray, lengths: np.ndarray, order: np.ndarray, star
     begin = np.cumsum(lengths) - lengths  # of each slice in text; with separators its index more
     n = len(text) + k
     owner = np.repeat(np.arange(k), lengths)
-    sym = np.zeros(n, np.int64)
-    sym[np.arange(len(text)) + owner] = text.astype(np.int64) + 1
-    suffixes = suffix_order(sym, width)
-    lcp = bounded_lcp(sym[suffixes - 1], width)
+    sym = np.zeros(n, np.uint16)
+    sym[np.arange(len(text)) + owner] = text.astype(np.uint16) + 1
+    suffixes, first = suffix_order(sym, width)
+    lcp = bounded_lcp(sym[suffixes - 1], first, width)
     piece = np.repeat(np.arange(k), lengths + 1)
     offset = np.arange(n) - (begin + np.arange(k))[piece]
     group = np.cumsum(lcp >= 0)
