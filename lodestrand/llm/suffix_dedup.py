@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import REMOVED, Block, blocked, by_bucket, removals, unpack, unpack_all, without
-from .shared import estimated_bytes, texts
+from .shared import cut, estimated_bytes, texts
 
 WIDTH = 100
+#: Buckets for each block: a bucket's slices take some hundred bytes a byte while they are sorted.
+BUCKETS = 4
 #: Rows of the sample that finds hot grams, and the share of it that makes a gram hot.
 SAMPLE_ROWS, HOT_SHARE = 2000, 0.02
 #: Odd multipliers and the seed of the byte table.
@@ -170,7 +172,13 @@ def _send(key, left: pa.Table, right: pa.Table, width: int, n: int, hot: np.ndar
         parts = [(a[plain], b[plain], h[plain] % np.uint64(n))]
         if (mine & is_hot).any():
             at = np.concatenate([np.arange(x, y - width + 1) for x, y in zip(a[mine & is_hot].tolist(), b[mine & is_hot].tolist())])
-            end = max(1, width // 3)
+            # equal windows of a block count once, as equal slices do
+            view, digest = memoryview(np.ascontiguousarray(block.data)), xxhash.xxh3_64_intdigest
+            once = np.unique(np.fromiter((digest(view[x : x + width]) for x in at.tolist()), np.uint64, len(at)), return_index=True)[1]
+            again = np.delete(at, once)
+            row = block.row_of(again)
+            out.append((number, COVERED, number, removals(row, again - block.offs[row], again - block.offs[row] + width)))
+            at, end = np.sort(at[once]), max(1, width // 3)
             ends = _grams(block.data, end)
             parts.append((at, at + width, (ends[at] * _MIX[0] + ends[at + width - end]) % np.uint64(n)))
         x, y, bucket = (np.concatenate(p) for p in zip(*parts))
@@ -312,7 +320,7 @@ def _transform(key, table: pa.Table, width: int) -> pa.Table:
 def hot_grams(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     """Gram hashes that over ``HOT_SHARE`` of at most ``SAMPLE_ROWS`` documents have as a window's key; at most 1 / HOT_SHARE times a document's own."""
     rows = texts(docs)
-    sample = rows.sample(min(1.0, SAMPLE_ROWS * 1000.0 / max(1, estimated_bytes(rows))), 5).limit(SAMPLE_ROWS)
+    sample = cut(rows.sample(min(1.0, SAMPLE_ROWS * 1000.0 / max(1, estimated_bytes(rows))), 5).limit(SAMPLE_ROWS), "sample")
 
     def keys(batches):
         for batch in batches:
@@ -331,6 +339,7 @@ def hot_grams(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): texts without the bytes of ``width``-byte strings that start earlier."""
     blocks, n = blocked(docs)
+    n *= BUCKETS
     hot = hot_grams(docs, width)
     announced = blocks.groupBy("block").applyInArrow(lambda key, t: _announce(key, t, width, n, hot), "bucket long, block long, blob binary")
     answers = announced.groupBy("bucket").applyInArrow(lambda t: _answer(t, hot), "block long, blob binary")
