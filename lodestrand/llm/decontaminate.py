@@ -7,9 +7,9 @@ counts 1 and another one ``-PENALTY``: an overlap that tolerates one substitutio
 matches. A document leaks an item if such a stretch has ``MIN_MATCHES`` matching tokens, or four fifths of
 an item too short for that.
 
-The seeds of the benchmark are counted first. Up to ``BROADCAST_SEEDS`` of them, a bit table of their
-hashes drops nearly all windows within the row and the join is a broadcast: no text and no window is
-shuffled. Beyond that the windows go through a shuffled join, which skew splitting serves.
+The seeds of the benchmark are counted first. Up to ``BROADCAST_SEEDS`` of them, two bit tables drop nearly
+all windows within the row, the first by the window's end tokens alone, which every mask keeps, the second
+by the seed; the join is a broadcast, and no text and no window is shuffled. Beyond that the windows go through a shuffled join, which skew splitting serves.
 
 Nulls and edges: tokens are runs of letters and digits, lowered; a null or empty text has none and leaks
 nothing; items under ``SPAN`` tokens are too short to tell and never match; a null item_id is an item like
@@ -37,22 +37,34 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", -1), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(ts: Column) -> Column:
-    """Array of (at, h) for every window and mask."""
+def _ends(ts: Column, i: Column) -> Column:
+    """The first and last token of a window in one long; every mask keeps these two places."""
+    return F.get(ts, i).bitwiseXOR(F.shiftrightunsigned(F.get(ts, i + (SPAN - 1)), 1))
+
+
+def _windows(ts: Column) -> Column:
+    """Where windows start."""
+    return F.when(F.size(ts) >= SPAN, F.sequence(F.lit(0), F.size(ts) - SPAN)).otherwise(F.array().cast("array<int>"))
+
+
+def _seeds(ts: Column, windows: Column) -> Column:
+    """Array of (at, h) for these windows and every mask."""
 
     def of(mask: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(ts) - SPAN), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(mask), *[F.get(ts, i + k) for k in MASKS[mask]]).alias("h")))
+        return F.transform(windows, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(mask), *[F.get(ts, i + k) for k in MASKS[mask]]).alias("h")))
 
-    empty = F.array().cast("array<struct<at:int,h:bigint>>")
-    return F.when(F.size(ts) >= SPAN, F.concat(*[of(m) for m in range(len(MASKS))])).otherwise(empty)
+    return F.concat(*[of(m) for m in range(len(MASKS))])
 
 
-def _bit_table(seeds: DataFrame) -> Column:
-    """A literal of 2 ** TABLE_BITS bits, set by hash: an array of longs, bounded whatever the benchmark."""
-    word = F.pmod(F.col("h"), F.lit(1 << (TABLE_BITS - 6)))
-    bit = F.pmod(F.shiftrightunsigned("h", TABLE_BITS), F.lit(64)).cast("int")
+def _word_and_bit(h: Column) -> tuple[Column, Column]:
+    return h.bitwiseAND(F.lit((1 << (TABLE_BITS - 6)) - 1)).cast("int"), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _bit_table(values: DataFrame) -> Column:
+    """A literal of 2 ** TABLE_BITS bits, set by the longs ``h``: an array, bounded whatever the benchmark."""
+    word, bit = _word_and_bit(F.col("h"))
     # one row for each word of the table at most
-    rows = seeds.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("v")).collect()
+    rows = values.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("v")).collect()
     table = [0] * (1 << (TABLE_BITS - 6))
     for r in rows:
         table[r["w"]] = r["v"]
@@ -60,8 +72,8 @@ def _bit_table(seeds: DataFrame) -> Column:
 
 
 def _in_table(table: Column, h: Column) -> Column:
-    bit = F.pmod(F.shiftrightunsigned(h, TABLE_BITS), F.lit(64)).cast("int")
-    return F.call_function("shiftrightunsigned", F.get(table, F.pmod(h, F.lit(1 << (TABLE_BITS - 6))).cast("int")), bit).bitwiseAND(F.lit(1)) == 1
+    word, bit = _word_and_bit(h)
+    return F.call_function("shiftrightunsigned", F.get(table, word), bit).bitwiseAND(F.lit(1)) == 1
 
 
 def _stretch(near: Column, first: Column, item: Column) -> Column:
@@ -82,16 +94,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     """(doc_id, item_id, n_matches) for each document and benchmark item that it leaks."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item")).where(F.size("item") >= SPAN).distinct()
     items = cut(items.withColumn("item_key", F.xxhash64("item_id", "item")), "items")
-    seeds = cut(items.select("item_key", F.explode(_seeds(F.col("item"))).alias("s")).select(F.col("s.h").alias("h"), "item_key", F.col("s.at").alias("item_at")).distinct(), "seeds")
+    seeds = cut(items.select("item_key", F.explode(_seeds(F.col("item"), _windows(F.col("item")))).alias("s")).select(F.col("s.h").alias("h"), "item_key", F.col("s.at").alias("item_at")).distinct(), "seeds")
     size = seeds.agg(F.count("*").alias("n")).first()["n"]
     longest = items.agg(F.max(F.size("item")).alias("n")).first()["n"] or 0
     small = size <= BROADCAST_SEEDS
-    table = _bit_table(seeds) if small else None
+    if small:
+        ends = items.select("item", F.explode(_windows(F.col("item"))).alias("i")).select(_ends(F.col("item"), F.col("i")).alias("h"))
+        by_ends, by_seed = _bit_table(ends), _bit_table(seeds)
 
     def hits(ts: Column) -> Column:
-        found = _seeds(ts)
-        if small:
-            found = F.filter(found, lambda s: _in_table(table, s["h"]))
+        if small:  # by two tokens first; few windows are hashed
+            return bound(F.filter(_windows(ts), lambda i: _in_table(by_ends, _ends(ts, i))), lambda ws: around_each(ts, F.filter(_seeds(ts, ws), lambda s: _in_table(by_seed, s["h"]))))
+        return around_each(ts, _seeds(ts, _windows(ts)))
+
+    def around_each(ts: Column, found: Column) -> Column:
         # what lies around a hit goes with it, as far as the longest item reaches
         around = lambda s: F.greatest(s["at"] - longest, F.lit(0))
         return F.transform(found, lambda s: F.struct(s["h"].alias("h"), (s["at"] - around(s)).alias("at"), F.slice(ts, around(s) + 1, F.lit(2 * longest + SPAN)).alias("near")))
