@@ -113,7 +113,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
         return F.transform(found, lambda s: F.struct(s["h"].alias("h"), (s["at"] - around(s)).alias("at"), F.slice(ts, around(s) + 1, F.lit(2 * longest + SPAN)).alias("near")))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", bound(tokens(F.col("text")), hits).alias("hits"))
-    rows = rows.where(F.size("hits") > 0).select("doc_id", F.explode("hits").alias("hit")).select("doc_id", F.col("hit.h").alias("hit_h"), F.col("hit.at").alias("at"), F.col("hit.near").alias("near"))
+    # the outer form keeps the optimizer from evaluating the hits again as a filter on their number
+    rows = rows.select("doc_id", F.explode_outer("hits").alias("hit")).select("doc_id", F.col("hit.h").alias("hit_h"), F.col("hit.at").alias("at"), F.col("hit.near").alias("near"))
     held, named = (F.broadcast(seeds), F.broadcast(items)) if small else (seeds, items)
     pairs = rows.join(held, F.col("hit_h") == F.col("h")).join(named, "item_key")
     pairs = pairs.select("doc_id", "item_id", _stretch(F.col("near"), F.col("at") - F.col("item_at"), F.col("item")).alias("n"), F.size("item").alias("length"))
