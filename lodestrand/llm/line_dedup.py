@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, group_count, texts
+from .shared import cut, group_count, texts, whole
 
 #: Stands for a null doc_id in arrays; sorts first, as null does.
 NO_ID = -(1 << 63)
@@ -140,7 +140,7 @@ def kept_lines(text: bytes, n_lines: int, bitmap: bytes) -> bytes:
 
 def _joined(docs: DataFrame, maps: DataFrame) -> DataFrame:
     """The rows of ``docs`` as ``doc``, each with its bitmap; texts are shuffled once."""
-    keyed = docs.select(F.struct(*docs.columns).alias("doc")).select("doc", F.col("doc.doc_id").cast("long").alias("k1"), F.xxhash64(F.coalesce("doc.text", F.lit(""))).alias("k2"))
+    keyed = docs.select(whole(docs).alias("doc")).select("doc", F.col("doc.doc_id").cast("long").alias("k1"), F.xxhash64(F.coalesce("doc.text", F.lit(""))).alias("k2"))
     return keyed.join(maps, F.col("k1").eqNullSafe(F.col("doc_id")) & (F.col("k2") == F.col("row_hash")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, whole
 
 #: A key that this share of all rows has counts as heavy, so there are at most this many of them.
 HEAVY = 1000
@@ -18,10 +18,9 @@ def lookup(rows: DataFrame, key: Column, dim: DataFrame, value: str) -> DataFram
     the row in the shuffled join of all others, so none of them meet in one task. ``dim`` is a written table.
     """
     total = dim.agg(F.sum("n").alias("n")).first()["n"] or 0
-    names = rows.columns
     heavy = F.broadcast(dim.where(F.col("n") * HEAVY > total).select(F.col("key").alias("_heavy_key"), F.col(value).alias("_heavy_value")))
     light = dim.where(F.col("n") * HEAVY <= total).select(F.col("key").alias("_light_key"), F.col(value).alias("_light_value"))
-    held = rows.select(F.struct(*names).alias("_row"), key.alias("_key")).join(heavy, F.col("_key") == F.col("_heavy_key"), "left")
+    held = rows.select(whole(rows).alias("_row"), key.alias("_key")).join(heavy, F.col("_key") == F.col("_heavy_key"), "left")
     is_heavy = F.col("_heavy_key").isNotNull()
     held = held.withColumn("_salt", F.when(is_heavy, F.xxhash64("_row")).otherwise(F.lit(0).cast("long"))).withColumn("_join", F.when(~is_heavy, F.col("_key")))
     out = held.join(light.withColumn("_none", F.lit(0).cast("long")), (F.col("_salt") == F.col("_none")) & (F.coalesce(F.col("_join"), F.col("_key")) == F.col("_light_key")), "left")

@@ -13,7 +13,7 @@ remembered in a bounded cache.
 Nulls and edges: a null text is encoded as an empty one, to no ids; a character without a piece becomes its
 byte pieces, or the unknown piece if the model has none; decoding puts the bytes together again, so every
 text comes back but for U+2581, which stands for a space in a model; a null id list decodes to null, other
-columns are kept by ``encode`` and ``decode``, which only add one; an empty table gives an empty result.
+columns are kept by ``encode`` and ``decode``, which add one or replace it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import texts
+from .shared import texts, whole
 
 SPACE = "▁"
 #: Entries of each of the two generations of remembered parts, and the longest part that is remembered.
@@ -185,20 +185,22 @@ def _add(df: DataFrame, of: str, name: str, kind: str, f) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([f(x) for x in batch.column(of).to_pylist()], to_arrow_type(field))
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+            row = batch.column("row")
+            made = pa.array([f(x) for x in batch.column("value").to_pylist()], to_arrow_type(field))
+            kept = [(c.name, v) for c, v in zip(row.type, row.flatten()) if c.name != name]
+            yield pa.RecordBatch.from_arrays([*[v for _, v in kept], made], [*[k for k, _ in kept], name])
 
-    schema = StructType([*df.schema.fields]).add(name, field)
-    return df.mapInArrow(run, schema)
+    schema = StructType([f for f in df.schema.fields if f.name != name]).add(name, field)
+    return df.select(whole(df).alias("row"), F.col(of).alias("value")).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str, kind: str = "bpe", name: str = "token_ids") -> DataFrame:
-    """``docs`` with the ids of ``text`` in column ``name``, which must be new."""
+    """``docs`` with the ids of ``text`` in column ``name``, last; one of that name is replaced."""
     return _add(docs, "text", name, "array<int>", lambda text: pieces(path, kind).encode(text or ""))
 
 
 def decode(ids: DataFrame, path: str, kind: str = "bpe", of: str = "token_ids", name: str = "decoded") -> DataFrame:
-    """``ids`` with the text of column ``of`` in column ``name``, which must be new."""
+    """``ids`` with the text of column ``of`` in column ``name``, last; one of that name is replaced."""
     return _add(ids, of, name, "string", lambda x: None if x is None else pieces(path, kind).decode(x))
 
 

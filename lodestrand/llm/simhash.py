@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .links import components, lookup
-from .shared import cut, estimated_bytes, texts
+from .shared import cut, estimated_bytes, texts, whole
 
 RADIUS, SHINGLE = 2, 3
 LARGE = 4096
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row of ``docs`` of each component, as it is: that of the smallest doc_id (null last), of its rows that of the smallest text hash."""
-    held = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"))
+    held = docs.select(whole(docs).alias("doc"), F.col("doc_id").cast("long").alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"))
     named = _named(cut(fingerprints(docs, shingle), "fingerprints"), radius)
     first = named.groupBy("of.root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"))
     kept = first.select(F.col("first.doc_id").alias("d1"), F.col("first.row_hash").alias("d2"))

@@ -19,7 +19,7 @@ from lodestrand.llm import chunk_dedup, decontaminate, line_dedup, links, qualit
 
 SF = "/root/testdata/sf0.001"
 #: Other columns with the names that operators use inside.
-CLASH = {"block": 1, "h1": 2, "pos": 3, "key": 4, "hits": 5, "doc": 6, "row_hash": 7, "fp": 8, "n": 9, "k1": 10, "text_": 11, "ws": 12, "status": 13}
+CLASH = {"block": 1, "h1": 2, "pos": 3, "key": 4, "hits": 5, "doc": 6, "row_hash": 7, "fp": 8, "n": 9, "k1": 10, "text_": 11, "ws": 12, "status": 13, "a.b": 14, "c`d e": 15}
 
 
 def lorem(r: random.Random, n: int) -> str:
@@ -455,6 +455,8 @@ def test_encode_and_decode_columns(odd, empty):
     path = sentencepieces.default_model()
     out = sentencepieces.decode(sentencepieces.encode(odd, path), path)
     assert out.columns == [*odd.columns, "token_ids", "decoded"]
+    again = sentencepieces.encode(out, path)
+    assert again.columns == [*odd.columns, "decoded", "token_ids"] and again.count() == odd.count()
     assert all(r.decoded == (r.text or "") for r in out.collect())
     assert sentencepieces.encode(empty, path).count() == 0
 
