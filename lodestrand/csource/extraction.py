@@ -213,9 +213,10 @@ class Extraction:
         plain = lambda t: type_rows({k: v for k, v in t.items() if k != "names"})
         if d.type is None:
             d.kind, d.type = kind, made
-            bad = next((r for r in type_rows(made) if r["kind"] == "unsupported"), None)
-            if bad and not d.support[0]:
-                d.support = (PARTIAL if bad["attrs"]["code"][0] == "P" else UNSUPPORTED, bad["attrs"]["code"])
+            rows = type_rows(made)
+            code = next((r["attrs"]["code"] for r in rows if r["kind"] == "unsupported"), None) or next((r["attrs"]["partial"] for r in rows if "partial" in r["attrs"]), None)
+            if code and not d.support[0]:
+                d.support = (PARTIAL if code[0] == "P" else UNSUPPORTED, code)
         elif d.kind != kind or plain(d.type) != plain(made):
             self.report("E1204", f"incompatible redeclaration of {d.name}", node, d.id)
 
@@ -280,7 +281,7 @@ class Extraction:
             made = self.type_name(node.children[0])
             made = made | {"quals": frozenset(made.get("quals", frozenset()) | {"atomic"})}
         elif "_BitInt" in words:
-            made = {"kind": "int", "rank": f"bit{self.constant(next(n for n in nodes if n.attrs.get('name') == '_BitInt').children[0])}", "signed": "unsigned" not in words}
+            made = {"kind": "int", "rank": f"bit{self.constant(next(n for n in nodes if n.attrs.get('name') == '_BitInt').children[0])}", "signed": "unsigned" not in words, "partial": "P1107"}
         else:
             made = self.scalar(words)
         return self.qualified(made, nodes)
@@ -301,7 +302,8 @@ class Extraction:
         elif len(rest) == 1 and (rest[0].startswith(("_Float", "_Decimal")) or rest[0] == "__float128") and signless and not longs:
             real = rest[0].strip("_").lower()
         if real:
-            return {"kind": "complex" if complex_ else "float", "rank": real}
+            extended = {"partial": "P1108"} if real not in ("float", "double", "long double") else {}
+            return {"kind": "complex" if complex_ else "float", "rank": real} | extended
         if complex_ or not sign_ok:
             return unsupported("E1100", "invalid specifiers")
         if rest == ["void"] and signless and not longs:
@@ -328,7 +330,7 @@ class Extraction:
     def derived(self, of: dict, declarator: Node, parameter: bool) -> dict:
         """Inside out: pointers, then arrays and functions from the last, then the nested declarator."""
         for p in declarator.find("Pointer"):
-            of = self.qualified({"kind": "pointer", "to": of}, p.children)
+            of = self.qualified({"kind": "pointer", "to": of} | ({"partial": "P1102"} if p.find("Attribute") else {}), p.children)
         for x in reversed([c for c in declarator.children if c.kind in ("Array", "Function")]):
             of = self.array(of, x, parameter) if x.kind == "Array" else self.function(of, x)
         nested = declarator.find("Declarator")
@@ -408,6 +410,9 @@ class Extraction:
             for m in node.find("Enumerator"):
                 given = [c for c in m.children if c.kind != "Attribute"]
                 value = self.exact(given[0]) if given else None if value is None else value + 1
+                for x in m.find("Attribute"):
+                    if x.attrs["name"].lower() not in MODELLED:
+                        self.report("P1202", f"attribute {x.attrs['name']} of {m.attrs['name']} is not modelled", x, key)
                 if value is None:
                     self.report("P1203", f"value of {m.attrs['name']} is not evaluated", m, key)
                 d.children.append({"role": "variant", "ordinal": len(d.children), "name": m.attrs["name"], "value": value, "type": None})

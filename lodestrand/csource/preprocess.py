@@ -92,6 +92,28 @@ def candidates(including: str, name: str, system: bool, roots: list[str]) -> lis
     return [*here, *(posixpath.normpath(posixpath.join(r, name)) for r in roots), BUILTIN + name]
 
 
+def guard_of(tokens: list[Token]) -> str | None:
+    """The name that guards a whole file: its first directive is ``#ifndef NAME``, the next ``#define NAME``, and nothing follows the last ``#endif``."""
+    lines: list[list[Token]] = [[]]
+    for t in tokens:
+        if t.kind == "newline":
+            lines.append([])
+        elif t.kind not in BLANK:
+            lines[-1].append(t)
+    lines = [x for x in lines if x]
+    heads = [[t.text for t in x[:3]] for x in lines]
+    if len(heads) < 3 or heads[0][:2] != ["#", "ifndef"] or heads[1][:2] != ["#", "define"] or heads[0][2:] != heads[1][2:] or heads[-1][:2] != ["#", "endif"]:
+        return None
+    depth = 0
+    for k, head in enumerate(heads):
+        if head[0] == "#" and len(head) > 1:
+            depth += head[1] in ("if", "ifdef", "ifndef")
+            depth -= head[1] == "endif"
+            if depth == 0 and k < len(heads) - 1 or depth == 1 and head[1] in ("else", "elif"):
+                return None
+    return heads[0][2] if len(heads[0]) > 2 else None
+
+
 class Unit:
     """One run over ``files`` (path to bytes). Results: tokens, macros(), diagnostics, used."""
 
@@ -102,6 +124,7 @@ class Unit:
         self.diagnostics: list[Diagnostic] = []
         self.used: dict[str, str] = {}
         self.once: set[str] = set()
+        self.guards: dict[str, str | None] = {}
         self.includes = self.read = self.lexed = 0
         self.checked = config.policy == "checked"
         self.expand = Expansion(self.table, self._call_problem, config.limits.expansions, config.limits.nesting)
@@ -183,7 +206,7 @@ class Unit:
 
     def process(self, path: str, role: str, chain: tuple, depth: int) -> list[Token]:
         limits, raw = self.config.limits, self.files[path]
-        if path in self.once:
+        if path in self.once or self.guards.get(path) in self.table:
             return []
         if depth > limits.include_depth:
             self.ceiling("E2203", "include depth", *(chain[-1][:3] if chain else ()))
@@ -195,6 +218,7 @@ class Unit:
                 self.ceiling("E2202", "total bytes", path)
             self.used[path] = "builtin" if path.startswith(BUILTIN) else role
         tokens = tokenize(raw.decode("utf-8", "replace"), path, chain)
+        self.guards[path] = guard_of(tokens)
         self.lexed += len(tokens)
         if self.lexed > limits.tokens:
             self.ceiling("E2205", "token", path)

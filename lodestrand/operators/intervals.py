@@ -60,3 +60,12 @@ def longest_prefix(paths: DataFrame, path: Column, roots: DataFrame, separator:
     found = tried.join(roots, F.col("_root") == F.col("root")).groupBy("_row").agg(F.max_by(F.struct("root", "logical"), F.length("root")).alias("_best"))
     held = paths.withColumn("_row", F.struct(*names)).join(found, "_row", "left")
     return held.select(*names, F.col("_best.root").alias("root"), F.col("_best.logical").alias("logical"))
+
+
+def overlapping_roots(roots: DataFrame, separator: str = "/") -> DataFrame:
+    """(root, within): mapped roots that equal or lie under another one, found by equality of prefixes."""
+    numbered = roots.select("root", "logical")
+    parts = F.split("root", separator)
+    above = numbered.select(F.col("root"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), separator))).alias("within"))
+    times = numbered.groupBy(F.col("root").alias("_root")).agg(F.count("*").alias("_n"))
+    return above.join(times, F.col("within") == F.col("_root")).where("root <> within OR _n > 1").select("root", "within").distinct()

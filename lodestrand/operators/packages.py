@@ -163,6 +163,10 @@ class Package:
             one(d.where("id NOT RLIKE '^decl1_[0-9a-f]{64}$'"), F.col("id"), "malformed id"),
             one(d.where("namespace = 'ordinary'").where("name IS NULL"), F.col("id"), "ordinary declaration without a name"),
             one(d.where("linkage = 'internal' AND scope NOT LIKE 'file:%'"), F.col("id"), "internal linkage outside a file scope"),
+            one(d.where((F.col("namespace") == "tag") != F.col("kind").isin("record", "enum")), F.col("id"), "kind and namespace differ"),
+            one(d.where((F.col("kind") == "function") != (F.get_json_object("type", "$[0].kind") == "function")).where("kind <> 'alias'"), F.col("id"), "kind and type differ"),
+            one(d.where("kind IN ('alias', 'record', 'enum') AND linkage <> 'none'"), F.col("id"), "linkage of what has none"),
+            one(d.where("(kind NOT IN ('record', 'enum') AND complete) OR (visibility IS NOT NULL AND visibility NOT IN ('default', 'hidden', 'protected', 'internal'))"), F.col("id"), "field that the kind lacks"),
             one(sets.dangling(d.select("id"), "id", o, "id"), F.col("id"), "no occurrence"),
             one(sets.dangling(o, "id", d, "id"), F.col("occ_id"), "occurrence of nothing"),
             one(o.where("start < 0 OR end <= start"), F.col("occ_id"), "empty range"),

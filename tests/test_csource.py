@@ -149,3 +149,36 @@ def test_scan_of_units(spark):
     assert {r.unit_id: " ".join(r.text.split()) for r in source_scan.unit_text(out).collect() if r.text.strip()} == {1: "B 9 3", 2: "B 3"}
     assert {r.unit_id: r.completeness for r in source_scan.completeness(out).collect()} == {1: "complete", 2: "complete", 3: "rejected", 4: "partial"}
     assert {(r.unit_id, r.file) for r in out.where("what = 'file'").collect()} == {(1, "main.c"), (1, "a.h"), (1, "b.h"), (2, "main.c"), (2, "a.h"), (2, "b.h"), (3, "bad.c")}
+
+
+def test_guards():
+    from lodestrand.csource.preprocess import guard_of
+
+    assert guard_of(tokenize("/* c */\n#ifndef A\n#define A\n#if 1\nx\n#endif\n#endif\n")) == "A"
+    for text in ("#ifndef A\n#define B\n#endif\n", "#ifndef A\n#define A\n#endif\nx\n", "#ifndef A\n#define A\n#else\n#endif\n", "x\n"):
+        assert guard_of(tokenize(text)) is None
+    files = {"g.h": "#ifndef G\n#define G\nonce\n#endif\n"}
+    assert words(run('#include "g.h"\n#include "g.h"\n#undef G\n#include "g.h"\n', files=files)) == "once once"
+
+
+def test_environment():
+    from lodestrand.csource.environment import capture
+
+    assert capture(None, {"A": "1"}).variables == ()
+    got = capture(("CPATH", "B"), {"CPATH": "x::y", "C_INCLUDE_PATH": "z"})
+    assert [(n, v is None) for n, v in got.variables] == [("B", True), ("CPATH", False)] and got.user_roots == ("x", "y") and got.system_roots == ()
+    with pytest.raises(ValueError):
+        capture(("a b",), {})
+
+
+def test_external_commands():
+    import sys
+
+    from lodestrand.csource.environment import ExternalFailure, external
+
+    call = lambda code, **more: external([sys.executable, "-c", code], **more)
+    assert call("print('x')")[0] == "x\n"
+    for code, expected, more in (("import time; time.sleep(9)", "E2210", {"seconds": 0.3}), ("print('x' * 99)", "E2211", {"most_bytes": 9}), ("raise SystemExit(3)", "E2213", {}), ("import os; os.write(1, b'\\xff')", "E2214", {})):
+        with pytest.raises(ExternalFailure) as e:
+            call(code, **more)
+        assert e.value.code == expected

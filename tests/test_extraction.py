@@ -90,3 +90,9 @@ def test_bounds():
 def test_type_rows_number_their_children():
     rows = type_rows(named(of("int *f(char);"), "f").type)
     assert [(r["path"], r["depth"], r["kind"]) for r in rows] == [("0", 0, "function"), ("0.0", 1, "pointer"), ("0.0.0", 2, "int"), ("0.1", 1, "int")]
+
+
+def test_partial_support():
+    codes = lambda text: [d["code"] for d in of(text).diagnostics]
+    assert codes("_Float16 x;") == ["P1108"] and codes("_BitInt(7) y;") == ["P1107"] and codes("enum e { A __attribute__((odd)) = 1 };") == ["P1202"]
+    assert codes("int * __attribute__((odd)) p;") == ["P1102"]

@@ -89,3 +89,8 @@ def test_paths(spark):
 def test_framing_keeps_lists_apart(spark):
     df = spark.createDataFrame([(["ab", "c"],), (["a", "bc"],)], "x array<string>")
     assert df.select(T.fingerprint("t1_", F.col("x")).alias("f")).distinct().count() == 2
+
+
+def test_overlapping_roots(spark):
+    roots = spark.createDataFrame([("/a", "x"), ("/a/b", "y"), ("/ab", "z"), ("/c", "u"), ("/c", "v")], "root string, logical string")
+    assert rows(intervals.overlapping_roots(roots), "root", "within") == [("/a/b", "/a"), ("/c", "/c")]
