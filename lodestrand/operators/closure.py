@@ -27,17 +27,17 @@ def closure(roots: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> Dat
     ``need`` is an integer rank of which an id keeps the maximum; an edge asks for its own need, whoever refers.
     Each round joins only the ids whose need rose in the last one with the edges.
     """
-    known = _written(roots.groupBy("id").agg(F.max("need").alias("need")))
-    frontier = known
-    for _ in range(max_rounds):
-        reached = frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id"), edges["need"].alias("need"))
-        reached = reached.groupBy("id").agg(F.max("need").alias("need"))
-        old = known.select(F.col("id").alias("_id"), F.col("need").alias("_need"))
-        risen = _written(reached.join(old, F.col("id") == F.col("_id"), "left").where(F.col("_id").isNull() | (F.col("need") > F.col("_need"))).select("id", "need"))
-        if risen.isEmpty():
-            return known
-        known = _written(known.unionByName(risen).groupBy("id").agg(F.max("need").alias("need")))
-        frontier = risen
+    best = lambda df: df.groupBy("id").agg(F.max("need").alias("need"))
+    known = frontier = _written(best(roots))
+    for k in range(max_rounds):
+        reached = best(frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id"), edges["need"].alias("need")))
+        old = best(known).select(F.col("id").alias("_id"), F.col("need").alias("_need"))
+        frontier = _written(reached.join(old, F.col("id") == F.col("_id"), "left").where(F.col("_id").isNull() | (F.col("need") > F.col("_need"))).select("id", "need"))
+        if frontier.isEmpty():
+            return best(known)
+        known = known.unionByName(frontier)
+        if k % 8 == 7:  # a long closure is not a long union
+            known = _written(best(known))
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
