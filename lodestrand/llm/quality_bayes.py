@@ -118,8 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS)
 def _scored(docs: DataFrame, host: Column, path: Column, quality: Evidence, toxic: Evidence) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t) for t in batch.column("text").to_pylist()]
-            odds = [pa.array([m.log_odds(f) for f in found], pa.float64()) for m in (quality, toxic)]
+            odds = []
+            for text in batch.column("text"):  # one text's features at a time
+                found = features(text.as_py())
+                odds.append((quality.log_odds(found), toxic.log_odds(found)))
+            odds = [pa.array([x[k] for x in odds], pa.float64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "host", "path")), *odds], ["doc_id", "host", "path", "quality_odds", "toxic_odds"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"))
