@@ -133,8 +133,8 @@ def _probability(odds: Column) -> Column:
     return 1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-30.0)), F.lit(30.0))))
 
 
-def _strength(sites: DataFrame, s: str, n: str, mean: Column) -> Column:
-    """Of the prior above ``sites``, by moments: how far their rates spread beyond what their sizes explain."""
+def _strength(s: str, n: str, mean: Column) -> Column:
+    """Of the prior above sites with sums ``s`` of ``n``, by moments: how far their rates spread beyond what their sizes explain."""
     within = F.sum(F.lit(1.0)) * F.avg(mean * (1 - mean))
     spread = F.sum(F.col(n) * F.pow(F.col(s) / F.col(n) - mean, 2))
     excess = (spread - within) / F.greatest(F.sum(n) - F.sum(F.pow(n, F.lit(2))) / F.sum(n), F.lit(1e-9))
@@ -142,16 +142,16 @@ def _strength(sites: DataFrame, s: str, n: str, mean: Column) -> Column:
 
 
 def _site_rates(scored: DataFrame, what: str) -> DataFrame:
-    """(key, n, s, prior, strength, rate): each path's sums, and its host's shrunk rate with the strength of that prior."""
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(what).alias("s"))
+    """(host, path, n, s, prior, strength, rate): each path's sums, and its host's shrunk rate with the strength of that prior; the driver sees three numbers."""
+    one = lambda df, c, default: next((x for x in df.agg(c.alias("x")).first() if x is not None), default)
+    paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(what).alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-    overall = hosts.agg((F.sum("host_s") / F.sum("host_n")).alias("rate"))
-    spread = hosts.crossJoin(F.broadcast(overall))  # one row
-    strength = spread.agg(_strength(spread, "host_s", "host_n", F.col("rate")).alias("k"), F.first("rate").alias("rate"))
-    shrunk = hosts.crossJoin(F.broadcast(strength)).select(F.col("host").alias("of_host"), "rate", ((F.col("host_s") + F.col("k") * F.col("rate")) / (F.col("host_n") + F.col("k"))).alias("prior"))
-    paths = cut(paths.join(shrunk, F.col("host").eqNullSafe(F.col("of_host"))).drop("of_host"), "paths")
-    inner = paths.agg(_strength(paths, "s", "n", F.col("prior")).alias("strength"))
-    return paths.crossJoin(F.broadcast(inner))
+    rate = one(hosts, F.sum("host_s") / F.sum("host_n"), 0.5)
+    k = one(hosts, _strength("host_s", "host_n", F.lit(rate)), 1.0)
+    shrunk = hosts.select(F.col("host").alias("of_host"), ((F.col("host_s") + k * rate) / (F.col("host_n") + k)).alias("prior"))
+    paths = cut(paths.join(shrunk, F.col("host").eqNullSafe(F.col("of_host"))).drop("of_host"), "priors")
+    strength = one(paths, _strength("s", "n", F.col("prior")), 1.0)
+    return paths.withColumns({"strength": F.lit(strength), "rate": F.lit(rate)})
 
 
 def _odds(p: Column) -> Column:
