@@ -37,14 +37,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, "[ \\t-\\r]+", -1), lambda w: w != "")
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
-
-
-def word_chars(text: Column) -> Column:
-    return F.length(F.array_join(words(text), "")).cast("long")
-
-
 def n_symbols(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long")
 
@@ -76,26 +68,28 @@ def _covered(hashes: Column) -> Column:
     return bound(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), of)
 
 
-def n_repeat_words(text: Column) -> Column:
-    """Words in 8-word windows that the text has twice or more. Only texts with an equal pair of windows are sorted."""
+def n_repeat_words(ws: Column) -> Column:
+    """Words in 8-word windows that a text with these words has twice or more. Only texts with an equal pair of windows are sorted."""
 
     def of(ws: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(ws, i, F.lit(WINDOW))))
         repeated = bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h)).otherwise(F.lit(0).cast("long")))
         return F.when(F.size(ws) > WINDOW, repeated).otherwise(F.lit(0).cast("long"))
 
-    return bound(F.transform(words(text), lambda w: F.xxhash64(w)), of)
+    return bound(F.transform(ws, lambda w: F.xxhash64(w)), of)
 
 
-METRICS: dict[str, Callable[[Column], Column]] = {
-    "n_words": n_words,
-    "word_chars": word_chars,
-    "n_symbols": n_symbols,
-    "n_lines": n_lines,
-    "n_dup_lines": n_dup_lines,
-    "n_repeat_words": n_repeat_words,
-    "n_shouts": lambda text: F.regexp_count(text, F.lit("!!")).cast("long"),
+#: Each takes the text and its words.
+METRICS: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, ws: F.size(ws).cast("long"),
+    "word_chars": lambda text, ws: F.length(F.array_join(ws, "")).cast("long"),
+    "n_symbols": lambda text, ws: n_symbols(text),
+    "n_lines": lambda text, ws: n_lines(text),
+    "n_dup_lines": lambda text, ws: n_dup_lines(text),
+    "n_repeat_words": lambda text, ws: n_repeat_words(ws),
+    "n_shouts": lambda text, ws: F.regexp_count(text, F.lit("!!")).cast("long"),
 }
+_OF_WORDS = {"n_words", "word_chars", "n_repeat_words"}
 
 
 @dataclass(frozen=True)
@@ -121,9 +115,9 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
-def _lookup(have: set[str], text: Column) -> Callable[[str], Column]:
+def _lookup(have: set[str], text: Column, ws: Column) -> Callable[[str], Column]:
     """A metric's column if the frame has it already, else its expression."""
-    return lambda name: F.col(name) if name in have else METRICS[name](text)
+    return lambda name: F.col(name) if name in have else METRICS[name](text, ws)
 
 
 def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -131,7 +125,7 @@ def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     rows = texts(docs)
     fraction = min(1.0, sample_rows * 2000.0 / max(1, estimated_bytes(rows)))
     sample = cut(rows.sample(fraction, 7).limit(sample_rows), "rules-sample")
-    look = _lookup(set(), F.col("text"))
+    look = _lookup(set(), F.col("text"), words(F.col("text")))
 
     def timed(c: Column) -> tuple[float, int, int]:
         began = time.perf_counter()
@@ -149,11 +143,17 @@ def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
 
 def cascade(docs: DataFrame, rules: list[Rule], have: set[str] = frozenset()) -> Column:
     """The name of the first rule that a document fails, null for none; ``have``: metrics that are columns already."""
-    look = _lookup(set(have), F.coalesce(docs["text"], F.lit("")) if "text" in docs.columns else F.lit(""))
-    out = F
-    for rule in rules:
-        out = out.when(rule.fails(look), F.lit(rule.name))
-    return out.otherwise(F.lit(None).cast("string")) if rules else F.lit(None).cast("string")
+    text = F.coalesce(docs["text"], F.lit(""))
+
+    def of(ws: Column) -> Column:
+        look, out = _lookup(set(have), text, ws), F
+        for rule in rules:
+            out = out.when(rule.fails(look), F.lit(rule.name))
+        return out.otherwise(F.lit(None).cast("string"))
+
+    if not rules:
+        return F.lit(None).cast("string")
+    return of(words(text)) if _OF_WORDS <= set(have) else bound(words(text), of)  # a text is split once
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -168,7 +168,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     base = texts(docs).select("doc_id", "text", words(text).alias("ws")).select(
         "doc_id", "text", F.size("ws").cast("long").alias("n_words"), F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
-        n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(text).alias("n_repeat_words"),
+        n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(F.col("ws")).alias("n_repeat_words"),
     )
     have = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"}
     failed = F.coalesce(F.col("n_words") < 20, F.lit(True)) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -276,7 +276,7 @@ def test_rules(odd):
     want = con.sql(quality_rules.SQL["op7_quality_rules"]).fetchall()
     base = quality_rules.texts(odd)
     text = F.col("text")
-    made = base.select("doc_id", *[quality_rules.METRICS[m](text).alias(m) for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
+    made = base.select("doc_id", *[quality_rules.METRICS[m](text, quality_rules.words(text)).alias(m) for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
     assert by_id(made.collect()) == by_id(r[:6] for r in want)
     passed = quality_rules.passing(odd)
     assert passed.columns == odd.columns
