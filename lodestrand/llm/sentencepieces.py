@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from .shared import texts, whole
 
 SPACE = "▁"
-#: Entries of each of the two generations of remembered parts, and the longest part that is remembered.
-CACHE, CACHED = 150_000, 64
+#: Entries of each of the two generations of remembered parts, the longest part that is remembered, and remembered pairs.
+#: A worker outlives its stage, so these bound what it holds while others run: some 60 MB.
+CACHE, CACHED, PAIRS = 60_000, 48, 200_000
 
 
 def default_model() -> str:
@@ -100,7 +101,7 @@ class Pieces:
         """Whether merging leaves the two pieces side by side; ``left`` -1 is the start."""
         key = left << 32 | right
         if (known := self.beside.get(key)) is None:
-            if len(self.beside) > 1 << 20:
+            if len(self.beside) >= PAIRS:
                 self.beside.clear()
             pair = [right] if left < 0 else [left, right]
             known = self.beside[key] = self.merged("".join(self.names[i] for i in pair)) == pair
@@ -186,7 +187,7 @@ def _add(df: DataFrame, of: str, name: str, kind: str, f) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("row")
-            made = pa.array([f(x) for x in batch.column("value").to_pylist()], to_arrow_type(field))
+            made = pa.array([f(x.as_py()) for x in batch.column("value")], to_arrow_type(field))  # one row's Python values at a time
             kept = [(c.name, v) for c, v in zip(row.type, row.flatten()) if c.name != name]
             yield pa.RecordBatch.from_arrays([*[v for _, v in kept], made], [*[k for k, _ in kept], name])
 
