@@ -4,20 +4,26 @@ A seed is a hash of the tokens of a window that a fixed mask selects, so a subst
 place doesn't change it. Seeds of all windows of the corpus are joined with the benchmark's. Around a hit
 the two texts are laid side by side and the best stretch of the item is found in which a matching token
 counts 1 and another one ``-PENALTY``: an overlap that tolerates one substitution for each ``PENALTY``
-matches. A document leaks an item if such a stretch has ``MIN_MATCHES`` matching tokens, or four fifths of
-an item too short for that.
+matches. A document leaks an item if such a stretch has ``MIN_MATCHES`` matching tokens, or if four fifths of
+all its tokens lie in place, wherever the others are. From 16 tokens on those leave some run of ``RUN`` as it
+was, and shorter items that have none left keep a window that a mask selects; so runs are seeds too, and
+none of these leaks is missed. An item under ``SPAN`` tokens leaks only
+as a whole; its first tokens are its seed.
 
 The seeds of the benchmark are counted first. Up to ``BROADCAST_SEEDS`` of them, two bit tables drop nearly
-all windows within the row, the first by the window's end tokens alone, which every mask keeps, the second
+all windows within the row, the first by the window's end tokens alone, which every mask and run keeps, the second
 by the seed; the join is a broadcast, and no text and no window is shuffled. Beyond that the windows go through a shuffled join, which skew splitting serves.
 
 Nulls and edges: tokens are runs of letters and digits, lowered; a null or empty text has none and leaks
-nothing; items under ``SPAN`` tokens are too short to tell and never match; a null item_id is an item like
+nothing; an item without tokens never leaks; a null item_id is an item like
 any other; rows that share a doc_id are one document; repeated items are one; empty tables leak nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +32,7 @@ from .shared import cut
 
 #: Fixed masks: places of a window whose tokens count.
 MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 6, 8), (0, 1, 2, 5, 6, 8))
-SPAN = 9
+SPAN, RUN = 9, 4
 PENALTY, MIN_MATCHES = 4, 13
 #: Seeds up to which the benchmark's side is broadcast (24 bytes each), and bits of the table for them.
 BROADCAST_SEEDS, TABLE_BITS = 1 << 20, 20
@@ -37,14 +43,14 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", -1), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _ends(ts: Column, i: Column) -> Column:
+def _ends(ts: Column, i: Column, span: int = SPAN) -> Column:
     """The first and last token of a window in one long; every mask keeps these two places."""
-    return F.get(ts, i).bitwiseXOR(F.shiftrightunsigned(F.get(ts, i + (SPAN - 1)), 1))
+    return F.get(ts, i).bitwiseXOR(F.shiftrightunsigned(F.get(ts, i + (span - 1)), 1))
 
 
-def _windows(ts: Column) -> Column:
+def _windows(ts: Column, span: int = SPAN) -> Column:
     """Where windows start."""
-    return F.when(F.size(ts) >= SPAN, F.sequence(F.lit(0), F.size(ts) - SPAN)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(ts) >= span, F.sequence(F.lit(0), F.size(ts) - span)).otherwise(F.array().cast("array<int>"))
 
 
 def _seeds(ts: Column, windows: Column) -> Column:
@@ -56,6 +62,16 @@ def _seeds(ts: Column, windows: Column) -> Column:
     return F.concat(*[of(m) for m in range(len(MASKS))])
 
 
+def _needed(length: Column) -> Column:
+    """Tokens in place that make a leak: four fifths of an item, all of a short one."""
+    return F.when(length < SPAN, length).otherwise(length - F.floor(length / 5).cast("int"))
+
+
+def _run_seeds(ts: Column, windows: Column, length: int) -> Column:
+    """Array of (at, h) for the runs of ``length`` tokens that start there."""
+    return F.transform(windows, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(len(MASKS) + length), *[F.get(ts, i + k) for k in range(length)]).alias("h")))
+
+
 def _word_and_bit(h: Column) -> tuple[Column, Column]:
     return h.bitwiseAND(F.lit((1 << (TABLE_BITS - 6)) - 1)).cast("int"), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
 
@@ -90,22 +106,39 @@ def _stretch(near: Column, first: Column, item: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), start, step)["best"]
 
 
+def _in_place(near: Column, first: Column, item: Column) -> Column:
+    """Matching tokens of the whole item; item token j lies at ``near[first + j]``."""
+    same = lambda j: (first + j >= 0) & F.coalesce(F.get(near, first + j) == F.get(item, j), F.lit(False))
+    return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), F.lit(0), lambda acc, j: acc + same(j).cast("int"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_matches) for each document and benchmark item that it leaks."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item")).where(F.size("item") >= SPAN).distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item")).where(F.size("item") > 0).distinct()
     items = cut(items.withColumn("item_key", F.xxhash64("item_id", "item")), "items")
-    seeds = cut(items.select("item_key", F.explode(_seeds(F.col("item"), _windows(F.col("item")))).alias("s")).select(F.col("s.h").alias("h"), "item_key", F.col("s.at").alias("item_at")).distinct(), "seeds")
+    items = items.withColumn("run", F.least(F.size("item"), F.lit(RUN)))
+    # 1 to RUN
+    lengths = sorted(r["run"] for r in items.select("run").distinct().collect())
+    item, short = F.col("item"), F.size("item") < SPAN
+    # a short item leaks as a whole, so its first run is enough
+    runs = {n: F.when(F.col("run") == n, F.when(short, F.array(F.lit(0))).otherwise(_windows(item, n))).otherwise(F.array().cast("array<int>")) for n in lengths}
+    of_item = F.concat(_seeds(item, _windows(item)), *[_run_seeds(item, runs[n], n) for n in lengths])
+    seeds = cut(items.select("item_key", F.explode(of_item).alias("s")).select(F.col("s.h").alias("h"), "item_key", F.col("s.at").alias("item_at")).distinct(), "seeds")
     size = seeds.agg(F.count("*").alias("n")).first()["n"]
     longest = items.agg(F.max(F.size("item")).alias("n")).first()["n"] or 0
     small = size <= BROADCAST_SEEDS
     if small:
-        ends = items.select("item", F.explode(_windows(F.col("item"))).alias("i")).select(_ends(F.col("item"), F.col("i")).alias("h"))
+        ends_of = lambda ws, n: F.transform(ws, lambda i: _ends(item, i, n))
+        ends = items.select(F.explode(F.concat(ends_of(_windows(item), SPAN), *[ends_of(runs[n], n) for n in lengths])).alias("h"))
         by_ends, by_seed = _bit_table(ends), _bit_table(seeds)
 
     def hits(ts: Column) -> Column:
+        return around_each(ts, F.concat(seeded(ts, SPAN, _seeds), *[seeded(ts, n, partial(_run_seeds, length=n)) for n in lengths]))
+
+    def seeded(ts: Column, span: int, of: Callable[[Column, Column], Column]) -> Column:
         if small:  # by two tokens first; few windows are hashed
-            return bound(F.filter(_windows(ts), lambda i: _in_table(by_ends, _ends(ts, i))), lambda ws: around_each(ts, F.filter(_seeds(ts, ws), lambda s: _in_table(by_seed, s["h"]))))
-        return around_each(ts, _seeds(ts, _windows(ts)))
+            return bound(F.filter(_windows(ts, span), lambda i: _in_table(by_ends, _ends(ts, i, span))), lambda ws: F.filter(of(ts, ws), lambda s: _in_table(by_seed, s["h"])))
+        return of(ts, _windows(ts, span))
 
     def around_each(ts: Column, found: Column) -> Column:
         # what lies around a hit goes with it, as far as the longest item reaches
@@ -117,8 +150,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     rows = rows.select("doc_id", F.explode_outer("hits").alias("hit")).select("doc_id", F.col("hit.h").alias("hit_h"), F.col("hit.at").alias("at"), F.col("hit.near").alias("near"))
     held, named = (F.broadcast(seeds), F.broadcast(items)) if small else (seeds, items)
     pairs = rows.join(held, F.col("hit_h") == F.col("h")).join(named, "item_key")
-    pairs = pairs.select("doc_id", "item_id", _stretch(F.col("near"), F.col("at") - F.col("item_at"), F.col("item")).alias("n"), F.size("item").alias("length"))
-    pairs = pairs.where(F.col("n") >= F.least(F.lit(MIN_MATCHES), F.ceil(F.col("length") * 0.8)))
+    first, length = F.col("at") - F.col("item_at"), F.size("item")
+    pairs = pairs.select("doc_id", "item_id", _stretch(F.col("near"), first, F.col("item")).alias("n"), _in_place(F.col("near"), first, F.col("item")).alias("m"), _needed(length).alias("needed"))
+    pairs = pairs.select("doc_id", "item_id", F.greatest("n", F.when(F.col("m") >= F.col("needed"), F.col("m"))).alias("n"), "needed").where(F.col("n") >= F.least(F.lit(MIN_MATCHES), "needed"))
     return pairs.groupBy("doc_id", "item_id").agg(F.max("n").cast("long").alias("n_matches"))
 
 
