@@ -55,3 +55,23 @@ def cycle_members(edges: DataFrame, max_length: int) -> DataFrame:
         paths = paths.select("start", F.array_append("seen", F.col("at")).alias("seen"), F.col("dst").alias("at"), F.lit(k).alias("length")).distinct()
         found = found.unionByName(paths.where("start = at").select(F.col("start").alias("id"), "length"))
     return found.groupBy("id").agg(F.min("length").cast("long").alias("length"))
+
+
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """(id): ids that lie on a cycle of ``edges`` (src, dst), whatever its length.
+
+    Edges from an id that none leads to, and to one that none leaves, are peeled off round by round; what is
+    left is closed by doubling paths.
+    """
+    left = _written(edges.select("src", "dst").distinct())
+    n, was = left.count(), None
+    while n != was:
+        into, out_of = left.select(F.col("dst").alias("_in")).distinct(), left.select(F.col("src").alias("_out")).distinct()
+        left = _written(left.join(into, F.col("src") == F.col("_in"), "left_semi").join(out_of, F.col("dst") == F.col("_out"), "left_semi"))
+        n, was = left.count(), n
+    was = None
+    while n != was:
+        on = left.select(F.col("src").alias("_via"), F.col("dst").alias("_to"))
+        left = _written(left.unionByName(left.join(on, F.col("dst") == F.col("_via")).select("src", F.col("_to").alias("dst"))).distinct())
+        n, was = left.count(), n
+    return left.where("src = dst").select(F.col("src").alias("id"))

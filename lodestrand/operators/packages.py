@@ -173,7 +173,7 @@ class Package:
             one(ordinals, F.col("occ_id"), "ordinal is not unique"),
             one(sets.dangling(self.edges.where("dst NOT IN ('')"), "dst", d, "id").where(F.col("need") == FULL), F.col("src"), "reference to nothing"),
             one(sets.dangling(self.diagnostics, "id", d, "id"), F.col("code"), "diagnostic of nothing"),
-            one(closure.cycle_members(aliases, 16), F.col("id"), "alias cycle"),
+            one(closure.on_cycle(aliases), F.col("id"), "alias cycle"),
         ]
         out = found[0]
         for f in found[1:]:
