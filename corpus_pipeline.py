@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import decontaminate, line_dedup, quality_rules, sentencepieces, simhash
+from lodestrand.llm import decontaminate, line_dedup, near_copies, quality_rules, sentencepieces
 from lodestrand.llm.shared import cut
 
 
@@ -21,8 +21,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.representatives(docs)
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8."""
+    return near_copies.representatives(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -192,10 +192,13 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.repartition(parts, "choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_links(radius), "a long, b long")
 
 
-def _named(fps: DataFrame, radius: int) -> DataFrame:
-    """``fps`` (with columns doc_id and fp) with ``of``: the root and the smallest doc_id of the component."""
+def named(fps: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fps`` (with columns doc_id and fp) with ``of``: the root and the smallest doc_id of the component.
+
+    ``link`` gives the links (a, b) of the distinct fingerprints.
+    """
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
-    roots = components(near_links(distinct.select("fp"), radius))
+    roots = components(link(distinct.select("fp")))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, "rooted")
     per_root = rooted.groupBy(F.col("root").alias("key")).agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
@@ -205,20 +208,24 @@ def _named(fps: DataFrame, radius: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id of the component."""
-    named = _named(cut(fingerprints(docs, shingle), "fingerprints"), radius)
-    return named.select("doc_id", "fp", F.col("of.component_id").alias("component_id"))
+    rows = named(cut(fingerprints(docs, shingle), "fingerprints"), lambda distinct: near_links(distinct, radius))
+    return rows.select("doc_id", "fp", F.col("of.component_id").alias("component_id"))
 
 
-def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of ``docs`` of each component, as it is: that of the smallest doc_id (null last), of its rows that of the smallest text hash."""
+def first_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of each component in ``rows`` (as ``named`` gives them) one row of ``docs``, as it is: that of the smallest doc_id (null last), of its rows that of the smallest text hash."""
     held = docs.select(whole(docs).alias("doc"), F.col("doc_id").cast("long").alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"))
-    named = _named(cut(fingerprints(docs, shingle), "fingerprints"), radius)
-    first = named.groupBy("of.root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"))
+    first = rows.groupBy("of.root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"))
     kept = first.select(F.col("first.doc_id").alias("d1"), F.col("first.row_hash").alias("d2"))
     rows = held.join(kept, F.col("k1").eqNullSafe(F.col("d1")) & (F.col("k2") == F.col("d2")), "left_semi")
     return rows.dropDuplicates(["k1", "k2"]).select("doc.*")
 
 
+def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` of each component, as it is."""
+    return first_rows(docs, named(cut(fingerprints(docs, shingle), "fingerprints"), lambda distinct: near_links(distinct, radius)))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: fingerprint and component."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
