@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.llm import decontaminate, line_dedup, near_copies, quality_rules, sentencepieces
-from lodestrand.llm.shared import cut
+from lodestrand.llm.shared import cut, free
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8."""
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8, pairs discarded by pivot tables over wide fingerprints."""
     return near_copies.representatives(docs)
 
 
@@ -45,7 +45,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``; each is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        free(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

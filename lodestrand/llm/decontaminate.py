@@ -12,7 +12,8 @@ as a whole; its first tokens are its seed.
 
 The seeds of the benchmark are counted first. Up to ``BROADCAST_SEEDS`` of them, two bit tables drop nearly
 all windows within the row, the first by the window's end tokens alone, which every mask and run keeps, the second
-by the seed; the join is a broadcast, and no text and no window is shuffled. Beyond that the windows go through a shuffled join, which skew splitting serves.
+by the seed; the join is a broadcast, and no text and no window is shuffled. Beyond that the seeds of all windows go through a
+shuffled join, 16 bytes and the document's key each, which skew splitting serves, and only texts with a hit are fetched.
 
 Nulls and edges: tokens are runs of letters and digits, lowered; a null or empty text has none and leaks
 nothing; an item without tokens never leaks; a null item_id is an item like
@@ -76,7 +77,7 @@ def _word_and_bit(h: Column) -> tuple[Column, Column]:
     return h.bitwiseAND(F.lit((1 << (TABLE_BITS - 6)) - 1)).cast("int"), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
 
 
-def _bit_table(values: DataFrame) -> Column:
+def bit_table(values: DataFrame) -> Column:
     """A literal of 2 ** TABLE_BITS bits, set by the longs ``h``: an array, bounded whatever the benchmark."""
     word, bit = _word_and_bit(F.col("h"))
     # one row for each word of the table at most
@@ -87,7 +88,7 @@ def _bit_table(values: DataFrame) -> Column:
     return F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<bigint>")
 
 
-def _in_table(table: Column, h: Column) -> Column:
+def in_table(table: Column, h: Column) -> Column:
     word, bit = _word_and_bit(h)
     return F.call_function("shiftrightunsigned", F.get(table, word), bit).bitwiseAND(F.lit(1)) == 1
 
@@ -130,14 +131,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     if small:
         ends_of = lambda ws, n: F.transform(ws, lambda i: _ends(item, i, n))
         ends = items.select(F.explode(F.concat(ends_of(_windows(item), SPAN), *[ends_of(runs[n], n) for n in lengths])).alias("h"))
-        by_ends, by_seed = _bit_table(ends), _bit_table(seeds)
+        by_ends, by_seed = bit_table(ends), bit_table(seeds)
+
+    def seeds_of(ts: Column) -> Column:
+        return F.concat(seeded(ts, SPAN, _seeds), *[seeded(ts, n, partial(_run_seeds, length=n)) for n in lengths])
 
     def hits(ts: Column) -> Column:
-        return around_each(ts, F.concat(seeded(ts, SPAN, _seeds), *[seeded(ts, n, partial(_run_seeds, length=n)) for n in lengths]))
+        return around_each(ts, seeds_of(ts))
 
     def seeded(ts: Column, span: int, of: Callable[[Column, Column], Column]) -> Column:
         if small:  # by two tokens first; few windows are hashed
-            return bound(F.filter(_windows(ts, span), lambda i: _in_table(by_ends, _ends(ts, i, span))), lambda ws: F.filter(of(ts, ws), lambda s: _in_table(by_seed, s["h"])))
+            return bound(F.filter(_windows(ts, span), lambda i: in_table(by_ends, _ends(ts, i, span))), lambda ws: F.filter(of(ts, ws), lambda s: in_table(by_seed, s["h"])))
         return of(ts, _windows(ts, span))
 
     def around_each(ts: Column, found: Column) -> Column:
@@ -145,11 +149,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
         around = lambda s: F.greatest(s["at"] - longest, F.lit(0))
         return F.transform(found, lambda s: F.struct(s["h"].alias("h"), (s["at"] - around(s)).alias("at"), F.slice(ts, around(s) + 1, F.lit(2 * longest + SPAN)).alias("near")))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", bound(tokens(F.col("text")), hits).alias("hits"))
-    # the outer form keeps the optimizer from evaluating the hits again as a filter on their number
-    rows = rows.select("doc_id", F.explode_outer("hits").alias("hit")).select("doc_id", F.col("hit.h").alias("hit_h"), F.col("hit.at").alias("at"), F.col("hit.near").alias("near"))
-    held, named = (F.broadcast(seeds), F.broadcast(items)) if small else (seeds, items)
-    pairs = rows.join(held, F.col("hit_h") == F.col("h")).join(named, "item_key")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if small:
+        rows = rows.select("doc_id", bound(tokens(F.col("text")), hits).alias("hits"))
+        # the outer form keeps the optimizer from evaluating the hits again as a filter on their number
+        rows = rows.select("doc_id", F.explode_outer("hits").alias("hit")).select("doc_id", F.col("hit.h").alias("hit_h"), F.col("hit.at").alias("at"), F.col("hit.near").alias("near"))
+        pairs = rows.join(F.broadcast(seeds), F.col("hit_h") == F.col("h")).join(F.broadcast(items), "item_key")
+    else:
+        # places and seeds alone are shuffled; then the texts that a hit names, once for each diagonal
+        keyed = rows.where("text IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
+        found = keyed.select("doc_id", "text_key", F.explode(bound(tokens(F.col("text")), seeds_of)).alias("hit")).select("doc_id", "text_key", F.col("hit.h").alias("hit_h"), F.col("hit.at").alias("at"))
+        found = found.join(seeds, F.col("hit_h") == F.col("h")).select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"), "item_key", (F.col("at") - F.col("item_at")).alias("at")).distinct()
+        whole_texts = keyed.dropDuplicates(["doc_id", "text_key"])
+        near = whole_texts.join(found, (F.col("text_key") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_doc")))
+        pairs = near.join(items, "item_key").select("doc_id", "item_id", "item", "at", F.lit(0).alias("item_at"), tokens(F.col("text")).alias("near"))
     first, length = F.col("at") - F.col("item_at"), F.size("item")
     pairs = pairs.select("doc_id", "item_id", _stretch(F.col("near"), first, F.col("item")).alias("n"), _in_place(F.col("near"), first, F.col("item")).alias("m"), _needed(length).alias("needed"))
     pairs = pairs.select("doc_id", "item_id", F.greatest("n", F.when(F.col("m") >= F.col("needed"), F.col("m"))).alias("n"), "needed").where(F.col("n") >= F.least(F.lit(MIN_MATCHES), "needed"))
@@ -158,7 +171,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document leaks no item, as they are."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("leaking_id")).distinct()
+    # written first, so that the join knows its size: texts are shuffled only beyond the broadcast threshold
+    found = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("leaking_id")).distinct(), "leaking")
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["leaking_id"]), "left_anti")
 
 

@@ -26,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, group_count, texts, whole
+from .shared import cut, free, group_count, texts, whole
 
 #: Stands for a null doc_id in arrays; sorts first, as null does.
 NO_ID = -(1 << 63)
 DROP, IF_CONTINUED, LAST = 0, 1, 2
+#: Range partitions at most; each is sorted with spilling and streamed, so a large one needs time, not memory.
+MOST_PARTS = 20_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -118,18 +120,20 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """
     rows = texts(docs).withColumn("row_hash", F.xxhash64("text"))
     lines = rows.mapInArrow(_hashes(min_chars), "h1 long, h2 long, doc_id long, row_hash long, pos int")
-    parts = group_count(rows, 16 << 20, 12)
+    parts = group_count(rows, 16 << 20, 12, MOST_PARTS)
     streamed = cut(
         lines.repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos").mapInArrow(_stream_firsts, STREAMED),
         "lines",
     )
-    # one row for each range partition, whatever the input's size
+    # one row for each range partition: MOST_PARTS at most
     last = F.broadcast(streamed.where(F.col("status") == LAST).select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("part").alias("before")))
     continued = streamed.where(F.col("status") == IF_CONTINUED).join(last, (F.col("h1") == F.col("l1")) & (F.col("h2") == F.col("l2")) & (F.col("before") < F.col("part")), "left_semi")
     drops = streamed.where(F.col("status") == DROP).unionByName(continued).select("doc_id", "row_hash", F.lit(None).cast("int").alias("n"), "pos")
     sizes = rows.select("doc_id", "row_hash", F.size(F.split("text", "\n", -1)).alias("n"), F.lit(None).cast("int").alias("pos"))
     by_doc = sizes.unionByName(drops).groupBy("doc_id", "row_hash").agg(F.max("n").cast("long").alias("n_lines"), F.collect_set("pos").alias("dropped"))
-    return by_doc.mapInArrow(_bitmaps, "doc_id long, row_hash long, n_lines long, n_dropped long, keep_bitmap binary")
+    out = cut(by_doc.mapInArrow(_bitmaps, "doc_id long, row_hash long, n_lines long, n_dropped long, keep_bitmap binary"), "bitmaps")
+    free(streamed)
+    return out
 
 
 def kept_lines(text: bytes, n_lines: int, bitmap: bytes) -> bytes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, whole
+from .shared import cut, free, whole
 
 #: A key that this share of all rows has counts as heavy, so there are at most this many of them.
 HEAVY = 1000
@@ -44,7 +44,8 @@ def components(links: DataFrame) -> DataFrame:
         large = cut(large.where("a <> b").distinct(), "large-star")
         lower = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), "m")
         small = large.join(lower, F.col("a") == F.col("c")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select(F.col("c").alias("a"), F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct(), "small-star")
+        before, edges = edges, cut(small.where("a <> b").distinct(), "small-star")
+        free(before, large)
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == state:
             break

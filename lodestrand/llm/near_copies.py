@@ -1,12 +1,22 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by word shingles: wide fingerprints, pivot distance tables, and an exact count.
 
-A text's set holds the XXH64 of its ``SHINGLE``-word shingles. Sets in one global order that are similar by
-four fifths or more share an element among the first fifth (and one more) of each, so pairs that share
-none there are never tried, and no pair is lost. A pair that shares one must have near sizes and enough elements
-behind it. Each set has a sketch of ``BITS`` bits, the parity of its elements by their last bits: two sets
-differ in at least as many elements as their sketches in bits, which discards nearly all other pairs before
-sets are moved; what is left is compared element by element. A group of m copies has up to m * m pairs. The order puts elements that many sets have last,
-told from a sixteenth of the sets; any order gives the same pairs.
+A text's set holds the XXH64 of its ``SHINGLE``-word shingles. Its fingerprint has ``BITS`` bits, each the
+parity of the elements that fall on it, so two fingerprints differ in at most as many bits as their sets do
+in elements. Sets are similar if they share four fifths of their union.
+
+**Candidates.** In one global order of elements, similar sets share an element among the first fifth (and
+one more) of each. Rows (element, set) are sorted by element; elements that one set alone has go at once.
+Of the sets that share an element, sizes and what lies behind the element in each must allow similarity.
+
+**Pivots.** For the rest, a table holds each fingerprint's Hamming distances to fixed reference
+fingerprints; a pair whose largest coordinate difference exceeds what similar sets may differ by is
+discarded, then one whose fingerprints do, then one whose ``WIDE``-bit fingerprints do, which tell large sets apart.
+Survivors are counted element by element. No step loses a pair.
+
+An element that more than ``CELL`` sets have is compared in cells of two blocks of sets, each a row group of
+its own, so none gathers more than two blocks. A group of m unequal near copies is compared about m * m / 2 times and
+has up to as many links, but equal sets count once. The order puts elements that many sets have
+last, told from a sixteenth of the texts; any order gives the same pairs.
 
 Nulls and edges: a text under ``SHINGLE`` words has one shingle; a text without words, and a null text, has
 none, and all such are copies; repeated rows are copies; a null doc_id is never the first of a group unless
@@ -23,14 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, texts
+from .decontaminate import bit_table, in_table
+from .shared import cut, estimated_bytes, free, texts
 from .simhash import first_rows, named
 
-SHINGLE, BITS = 5, 1024
+SHINGLE, BITS, WIDE = 5, 1024, 1 << 14
 #: Sampled sets (one in SAMPLE) that make an element a frequent one, and how many of those are told apart.
 SAMPLE, HOT, MOST_HOT = 16, 32, 1000
-#: Texts whose sets are held at once.
-_SLICE = 500
+#: Sets of a block, where an element has more than that; pairs tested at once; bytes of a shuffle partition.
+CELL, TESTED, PART_BYTES = 4096, 1 << 17, 16 << 20
+#: The reference fingerprints, from a fixed seed.
+REFERENCES = np.random.default_rng(20240614).integers(0, 2**64, (16, BITS // 64), np.uint64)
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -47,9 +60,9 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
-def sketch(items: np.ndarray) -> np.ndarray:
-    """The parity of a set's elements by their last bits, as BITS / 64 signed longs."""
-    return np.packbits(np.bincount(items & (BITS - 1), minlength=BITS).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+def fingerprint(items: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The parity of a set's elements by their last bits, as bits / 64 signed longs."""
+    return np.packbits(np.bincount(items & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.int64)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -57,54 +70,184 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
 
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, row_hash, n, sketch, items): fp is a digest of the set, n its size, row_hash is ``xxhash64(text)``."""
+def _digest(items: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(items.tobytes())
+
+
+def _each(rows: DataFrame, shingle: int) -> DataFrame:
+    """(fp, items, wide) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(s, _SLICE)
-                sets = [shingles(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                fps = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                n = np.array([len(x) for x in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), batch.column("row_hash"), pa.array(n), _lists([sketch(x) for x in sets]), _lists(sets)], ["doc_id", "fp", "row_hash", "n", "sketch", "items"])
+        for batch in batches:
+            sets = [shingles(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            fps = np.array([_digest(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(fps), _lists(sets), _lists([fingerprint(x, WIDE) for x in sets])], ["fp", "items", "wide"])
 
-    return texts(docs).withColumn("row_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, row_hash long, n long, sketch array<bigint>, items array<bigint>")
+    return rows.select("text").mapInArrow(run, "fp long, items array<bigint>, wide array<bigint>")
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """(fp, n, at, item): the first elements of each distinct set, with their places."""
-    sample = sets.where(F.pmod("fp", F.lit(SAMPLE)) == 0).select("fp", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    # at most MOST_HOT rows
-    hot = [r["item"] for r in sample.where(F.col("n") >= HOT).orderBy(F.desc("n"), "item").limit(MOST_HOT).collect()]
-    ordered = F.concat(F.filter("items", lambda x: ~x.isin(hot)), F.filter("items", lambda x: x.isin(hot))) if hot else F.col("items")
-    rows = sets.where("n > 0").select("fp", "n", F.slice(ordered, F.lit(1), F.floor(F.col("n") / 5).cast("int") + 1).alias("first"))
-    return rows.dropDuplicates(["fp"]).select("fp", "n", F.posexplode("first").alias("at", "item"))
+def frequent(rows: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """Elements that ``HOT`` or more of the sampled texts have, ``MOST_HOT`` at most, sorted."""
+    sample = _each(rows.where(F.pmod("row_hash", F.lit(SAMPLE)) == 0).select("row_hash", "text").dropDuplicates(["row_hash"]), shingle)
+    counts = sample.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
+    return np.sort(np.array([r["item"] for r in counts.orderBy(F.desc("n"), "item").limit(MOST_HOT).collect()], np.int64))
 
 
-def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (a, b) with size and ``column`` of both sets."""
+SETS = "doc_id long, row_hash long, fp long, n int, bits array<bigint>, first array<bigint>"
+
+
+def described(rows: DataFrame, hot: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, row_hash, fp, n, bits, first) of each row: digest and size of its set, the fingerprint, and its first elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, bits, first = [], [], [], []
+            for t in batch.column("text"):
+                items = shingles(t.as_buffer().to_pybytes(), shingle)
+                fps.append(_digest(items))
+                sizes.append(len(items))
+                bits.append(fingerprint(items))
+                often = np.isin(items, hot)
+                first.append(np.r_[items[~often], items[often]][: len(items) // 5 + 1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row_hash"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(bits), _lists(first)],
+                ["doc_id", "row_hash", "fp", "n", "bits", "first"],
+            )
+
+    return rows.mapInArrow(run, SETS)
+
+
+SHARED = "item long, fp long, n int, at int, k long"
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of ``item`` those whose item another row has too, numbered within the item by ``k``; one row is held."""
+    held, before, number = None, None, -1  # the row that waits for the next one; the item of the last row that went by, and its number
+
+    def out(batch: pa.RecordBatch, item: np.ndarray, after: np.int64 | None) -> pa.RecordBatch:
+        nonlocal before, number
+        first = np.r_[before is None or before != item[0], item[1:] != item[:-1]]
+        last = np.r_[first[1:], after is None or after != item[-1]]
+        place = np.arange(len(item))
+        k = place - np.maximum.accumulate(np.where(first, place, 0))
+        k[: int(np.argmax(first)) if first.any() else len(item)] += number + 1
+        before, number = item[-1], int(k[-1])
+        keep = pa.array(np.flatnonzero(~(first & last)))
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in ("item", "fp", "n", "at")), pa.array(k).take(keep)], ["item", "fp", "n", "at", "k"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        item = batch.column("item").to_numpy()
+        if held is not None:
+            yield out(held, held.column("item").to_numpy(), item[0])
+        if batch.num_rows > 1:
+            yield out(batch.slice(0, batch.num_rows - 1), item[:-1], item[-1])
+        held = batch.slice(batch.num_rows - 1)
+    if held is not None:
+        yield out(held, held.column("item").to_numpy(), None)
+
+
+def pairs_up_to(reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) with i < j < reach[i], near ``TESTED`` of them at a time."""
+    count = np.maximum(reach - np.arange(len(reach)) - 1, 0)
+    edge, s = np.cumsum(count), 0
+    while s < len(reach):
+        e = max(s + 1, int(np.searchsorted(edge, (edge[s - 1] if s else 0) + TESTED, "right")))
+        c = count[s:e]
+        i = np.repeat(np.arange(s, e), c)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + i + 1
+        s = e
+
+
+def _survivors(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """(a, b): pairs of whole buckets (item, cell) that neither sizes nor places, pivots or fingerprints discard."""
+    new = np.r_[True, (rows["item"][1:] != rows["item"][:-1]) | (rows["cell"][1:] != rows["cell"][:-1])]
+    bucket = np.cumsum(new)
+    order = np.lexsort((rows["n"], bucket))
+    bucket, (fp, n, at, block, cell, bits) = bucket[order], (rows[k][order] for k in ("fp", "n", "at", "block", "cell", "bits"))
+    n = n.astype(np.int64)
+    table = [np.bitwise_count(bits ^ r).sum(1, dtype=np.int32) for r in REFERENCES]
+    reach = np.searchsorted((bucket << 32) + n, (bucket << 32) + n * 5 // 4, "right")
+    a, b = [], []
+    for i, j in pairs_up_to(reach):
+        both = n[i] + n[j]
+        good = (np.minimum(n[i] - at[i], n[j] - at[j]) * 9 >= both * 4) & (fp[i] != fp[j]) & ((cell[i] < 0) | (block[i] != block[j]))
+        i, j, both = i[good], j[good], both[good]
+        for distance in table:
+            good = np.abs(distance[i] - distance[j]) * 9 <= both
+            i, j, both = i[good], j[good], both[good]
+        good = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) * 9 <= both
+        a.append(np.minimum(fp[i[good]], fp[j[good]]))
+        b.append(np.maximum(fp[i[good]], fp[j[good]]))
+    pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+
+def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = {k: batch.column(k).to_numpy() for k in ("item", "cell", "block", "fp", "n", "at")}
+        part["bits"] = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+        held = {k: np.concatenate([held[k], v]) for k, v in part.items()} if held else part
+        # the last bucket may go on in the next batch
+        ends = np.flatnonzero((held["item"] != held["item"][-1]) | (held["cell"] != held["cell"][-1]))
+        if len(ends):
+            yield _survivors({k: v[: ends[-1] + 1] for k, v in held.items()})
+            held = {k: v[ends[-1] + 1 :] for k, v in held.items()}
+    if held:
+        yield _survivors(held)
+
+
+def _cells(shared: DataFrame) -> DataFrame:
+    """``shared`` with (cell, block): an item of up to ``CELL`` rows is one cell, -1; else each two blocks of its rows are one, and -2 - block a block alone."""
+    large = shared.where(F.col("k") >= CELL).groupBy(F.col("item").alias("of")).agg((F.max("k") / CELL).cast("long").alias("last"))
+    block = F.floor(F.col("k") / CELL)
+    others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda t: t != block), lambda t: F.greatest(t, block) * (1 << 31) + F.least(t, block))
+    cells = F.when(F.col("last").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.concat(F.array(-2 - block), others))
+    return shared.join(large, F.col("item") == F.col("of"), "left").select("item", "fp", "n", "at", block.alias("block"), F.explode(cells).alias("cell"))
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``distinct`` (fp, n, bits, first) that may be similar; a written table."""
+    parts = max(12, int(estimated_bytes(distinct) * 4 // PART_BYTES))
+    rows = distinct.where("n > 0").select("fp", "n", F.posexplode("first").alias("at", "item")).select("item", "fp", "n", "at")
+    shared = cut(rows.repartition(parts, "item").sortWithinPartitions("item").mapInArrow(_shared, SHARED), "shared")
+    held = _cells(shared).join(distinct.select(F.col("fp").alias("of"), "bits"), F.col("fp") == F.col("of"))
+    found = held.select("item", "cell", "block", "fp", "n", "at", "bits").repartition(parts, "item", "cell").sortWithinPartitions("item", "cell").mapInArrow(_tested, "a long, b long")
+    out = cut(found.distinct(), "pairs")
+    free(shared)
+    return out
+
+
+def _with_both(pairs: DataFrame, items: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with the sizes n_x, n_y and ``column`` of both sets as x and y."""
+    of = lambda k: items.select(F.col("fp").alias(f"fp_{k}"), F.size("items").alias(f"n_{k}"), F.col(column).alias(k))
+    return pairs.join(of("x"), F.col("a") == F.col("fp_x")).join(of("y"), F.col("b") == F.col("fp_y"))
+
+
+def similar(rows: DataFrame, sets: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b): all pairs of distinct sets with a Jaccard similarity of four fifths or more; ``sets`` are those of ``rows``, written."""
+    distinct = cut(sets.select("fp", "n", "bits", "first").dropDuplicates(["fp"]), "distinct-sets")
+    pairs = candidates(distinct)
+    free(distinct)
     tried = pairs.select(F.col("a").alias("of")).unionByName(pairs.select(F.col("b").alias("of"))).distinct()
-    held = cut(sets.select("fp", "n", column).join(tried, F.col("fp") == F.col("of"), "left_semi").dropDuplicates(["fp"]), "tried")
-    of = lambda k: held.select(F.col("fp").alias(f"fp_{k}"), F.col("n").alias(f"n_{k}"), F.col(column).alias(f"{column}_{k}"))
-    return pairs.join(of("a"), F.col("a") == F.col("fp_a")).join(of("b"), F.col("b") == F.col("fp_b"))
-
-
-def similar(sets: DataFrame) -> DataFrame:
-    """(a, b): all pairs of distinct sets (fp) with a Jaccard similarity of four fifths or more."""
-    rows = cut(_prefixes(sets), "prefixes")
-    x = rows.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("at").alias("x"), "item")
-    y = rows.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("at").alias("y"), F.col("item").alias("item_b"))
-    near = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    near = near & (F.col("na") * 5 >= F.col("nb") * 4) & (F.least(F.col("na") - F.col("x"), F.col("nb") - F.col("y")) * 9 >= (F.col("na") + F.col("nb")) * 4)
-    pairs = cut(x.join(y, (F.col("item") == F.col("item_b")) & near).select("a", "b").distinct(), "pairs")
-    agree = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x) * 9 <= F.col("n_a") + F.col("n_b")
-    pairs = cut(_with_both(pairs, sets, "sketch").where(agree).select("a", "b"), "sketched")
-    same = F.size(F.array_intersect("items_a", "items_b"))
-    return _with_both(pairs, sets, "items").where(same * 9 >= (F.col("n_a") + F.col("n_b")) * 4).select("a", "b")
-
-
-def representatives(docs: DataFrame) -> DataFrame:
+    # one text of each set; a bounded bit table keeps most others out of the shuffle
+    texts_of = cut(sets.select("fp", "row_hash").join(tried, F.col("fp") == F.col("of"), "left_semi").groupBy("fp").agg(F.min("row_hash").alias("h")), "tried")
+    seen = rows.where(in_table(bit_table(texts_of.select("h")), F.col("row_hash"))).select("row_hash", "text")
+    seen = seen.join(texts_of, F.col("row_hash") == F.col("h"), "left_semi").dropDuplicates(["row_hash"])
+    items = cut(_each(seen, shingle).dropDuplicates(["fp"]), "items")
+    differ = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda acc, c: acc + c)
+    near = cut(_with_both(pairs, items, "wide").where(differ * 9 <= F.col("n_x") + F.col("n_y")).select("a", "b"), "near")
+    out = cut(_with_both(near, items, "items").where(F.size(F.array_intersect("x", "y")) * 9 >= (F.col("n_x") + F.col("n_y")) * 4).select("a", "b"), "similar")
+    free(pairs, texts_of, items, near)
+    return out
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row of ``docs`` of each group of near copies, as it is; the first by doc_id (null last), then by text hash."""
-    sets = cut(shingle_sets(docs), "shingle-sets")
-    return first_rows(docs, named(sets.select("doc_id", "fp", "row_hash"), lambda distinct: similar(sets)))
+    rows = texts(docs).withColumn("row_hash", F.xxhash64("text"))
+    sets = cut(described(rows, frequent(rows, shingle), shingle), "shingle-sets")
+    return first_rows(docs, named(sets.select("doc_id", "fp", "row_hash"), lambda _: similar(rows, sets, shingle)))

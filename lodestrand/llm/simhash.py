@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .links import components, lookup
-from .shared import cut, estimated_bytes, texts, whole
+from .shared import cut, estimated_bytes, free, texts, whole
 
 RADIUS, SHINGLE = 2, 3
 LARGE = 4096
@@ -203,7 +203,9 @@ def named(fps: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
     rooted = cut(rooted, "rooted")
     per_root = rooted.groupBy(F.col("root").alias("key")).agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
     per_root = cut(per_root.select("key", "n", F.struct(F.col("key").alias("root"), "component_id").alias("of")), "components")
-    return lookup(fps, F.col("fp"), cut(lookup(rooted, F.col("root"), per_root, "of").select(F.col("fp").alias("key"), "of", "n"), "named"), "of")
+    by_fp = cut(lookup(rooted, F.col("root"), per_root, "of").select(F.col("fp").alias("key"), "of", "n"), "named")
+    free(distinct, rooted, per_root)
+    return lookup(fps, F.col("fp"), by_fp, "of")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -214,11 +216,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def first_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Of each component in ``rows`` (as ``named`` gives them) one row of ``docs``, as it is: that of the smallest doc_id (null last), of its rows that of the smallest text hash."""
-    held = docs.select(whole(docs).alias("doc"), F.col("doc_id").cast("long").alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"))
-    first = rows.groupBy("of.root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("d1"), F.col("first.row_hash").alias("d2"))
-    rows = held.join(kept, F.col("k1").eqNullSafe(F.col("d1")) & (F.col("k2") == F.col("d2")), "left_semi")
-    return rows.dropDuplicates(["k1", "k2"]).select("doc.*")
+    none, at = lambda c: c.isNull().cast("int"), lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    doc_id = F.col("doc.doc_id").cast("long")
+    held = docs.select(whole(docs).alias("doc")).select("doc", none(doc_id).alias("k0"), at(doc_id).alias("k1"), F.xxhash64(F.coalesce("doc.text", F.lit(""))).alias("k2"))
+    first = rows.groupBy("of.root").agg(F.min(F.struct(none(F.col("doc_id")).alias("none"), "doc_id", "row_hash")).alias("first"))
+    kept = first.select(F.col("first.none").alias("d0"), at(F.col("first.doc_id")).alias("d1"), F.col("first.row_hash").alias("d2"))
+    # plain keys without nulls: the repeated rows of one document meet without another shuffle
+    rows = held.join(kept, (F.col("k0") == F.col("d0")) & (F.col("k1") == F.col("d1")) & (F.col("k2") == F.col("d2")), "left_semi")
+    return rows.dropDuplicates(["k0", "k1", "k2"]).select("doc.*")
 
 
 def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from lodestrand.llm import near_copies
 from tests.llm.test_operators import CLASH, lorem, odd_texts
@@ -40,8 +43,9 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark, monkeypatch):
     for (d, _), g in zip(rows, group):
         first[g] = min((d is None, d), first.get(g, (True, 1 << 60)), key=lambda v: (v[0], v[1] or 0))
     assert len(first) <= len(set(range(len(rows)))) - 10
-    for hot in (32, 1):
+    for hot, cell in ((32, 4096), (1, 3)):
         monkeypatch.setattr(near_copies, "HOT", hot)
+        monkeypatch.setattr(near_copies, "CELL", cell)
         monkeypatch.setattr(near_copies, "SAMPLE", 16 if hot > 1 else 1)
         kept = corpus_pipeline.near_duplicates(spark, docs, "")
         assert kept.columns == docs.columns
@@ -51,3 +55,24 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark, monkeypatch):
 def test_near_copies_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_copies.representatives(docs).count() == 0
+
+
+def test_shared_elements_over_batches():
+    items = [1, 2, 2, 2, 3, 4, 4, 5, 5, 5, 5, 6]
+    want = [(x, items[:i].count(x)) for i, x in enumerate(items) if items.count(x) > 1]
+    for size in (1, 2, 3, 5, 12):
+        table = pa.table({"item": pa.array(items, pa.int64()), "fp": pa.array(range(12), pa.int64()), "n": pa.array([9] * 12, pa.int32()), "at": pa.array([0] * 12, pa.int32())})
+        got = pa.Table.from_batches(near_copies._shared(iter(table.to_batches(max_chunksize=size))))
+        assert list(zip(got["item"].to_pylist(), got["k"].to_pylist())) == want
+
+
+def test_pivots_lose_no_pair():
+    r = np.random.default_rng(3)
+    base = np.unique(r.integers(-(2**62), 2**62, 90))
+    sets = [np.unique(np.r_[r.choice(base, r.integers(60, 91), replace=False), r.integers(-(2**62), 2**62, r.integers(0, 9))]) for _ in range(60)]
+    rows = {"item": np.zeros(60, np.int64), "cell": np.full(60, -1), "block": np.zeros(60, np.int64), "fp": np.arange(60), "n": np.array([len(x) for x in sets]), "at": np.zeros(60, np.int64)}
+    rows["bits"] = np.stack([near_copies.fingerprint(x) for x in sets]).view(np.uint64)
+    got = near_copies._survivors(rows)
+    got = set(zip(got.column("a").to_pylist(), got.column("b").to_pylist()))
+    want = {(a, b) for b in range(60) for a in range(b) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+    assert want and want <= got and len(got) < 60 * 59 // 2
