@@ -11,8 +11,9 @@ the others are ``revisit`` records that refer to it. The records of a payload th
 the table meet their first page by a broadcast of at most a thousand rows, all others by a shuffled join.
 
 Nulls and edges: a null html is an empty payload; a null url has no target header; a null page_id is never
-referred to; rows that repeat the smallest page_id are all responses; an empty table gives an archive of
-no records; columns other than page_id, url and html are ignored.
+referred to; rows that repeat the smallest page_id are all responses; a line break in a url, which no header can
+hold, is percent-encoded, and every other url comes back as it is; an empty table writes no archive and gives an
+empty manifest; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         block += payload
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page_id)}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     lines += ["WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to)}"]
@@ -175,7 +176,7 @@ def _reader(payloads: bool):
                     raise ValueError(f"{path}: {headers['WARC-Record-ID']} is damaged")
                 uri = headers.get("WARC-Target-URI")
                 yield {
-                    "page_id": _page_id(headers["WARC-Record-ID"]), "url": uri and uri.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "payload_bytes": length, "payload_digest": digest,
+                    "page_id": _page_id(headers["WARC-Record-ID"]), "url": uri, "payload_bytes": length, "payload_digest": digest,
                     "record_type": kind, "refers_to": _page_id(headers.get("WARC-Refers-To")), "payload": payload if payloads and kind == "response" else None,
                 }
 
