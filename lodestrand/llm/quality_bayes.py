@@ -8,7 +8,8 @@
 with partial sums). A host's rate is shrunk to the global rate and a path's to its host's; the strength of
 each prior is the Beta-binomial's, by the method of moments from how much hosts (paths) differ beyond
 chance, so a sparse site moves little. A document's posterior odds are its own odds times the ratio of its
-path's odds to the global odds, without the document's own part in them.
+path's odds to the global odds; the document's own part is taken out of the sums of its path, of its host and of all,
+so a site of one document says nothing of it.
 
 The same is done for toxicity. ``kept``: quality at least even and toxicity under ``TOXIC_AT``, which is
 low because few texts are toxic and a missed one costs more.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .links import lookup
-from .shared import cut
+from .shared import cut, free, small_batches
 
 #: Labelled rows to fit on, and features to keep; both bound the model, not the input.
 SAMPLE_ROWS, MAX_FEATURES = 6000, 20_000
@@ -125,6 +126,7 @@ def _scored(docs: DataFrame, host: Column, path: Column, quality: Evidence, toxi
             odds = [pa.array([x[k] for x in odds], pa.float64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "host", "path")), *odds], ["doc_id", "host", "path", "quality_odds", "toxic_odds"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"))
     return rows.mapInArrow(run, "doc_id long, host string, path string, quality_odds double, toxic_odds double")
 
@@ -141,17 +143,24 @@ def _strength(s: str, n: str, mean: Column) -> Column:
     return F.least(F.greatest(F.avg(mean * (1 - mean)) / F.greatest(excess, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(1e6))
 
 
-def _site_rates(scored: DataFrame, what: str) -> DataFrame:
-    """(host, path, n, s, prior, strength, rate): each path's sums, and its host's shrunk rate with the strength of that prior; the driver sees three numbers."""
+def _site_sums(scored: DataFrame, what: str) -> DataFrame:
+    """(host, path, s, n, host_s, host_n, host_strength, strength, all_s, all_n): sums of each path, its host and all, with the strengths of the two priors; the driver sees four numbers."""
     one = lambda df, c, default: next((x for x in df.agg(c.alias("x")).first() if x is not None), default)
     paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(what).alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-    rate = one(hosts, F.sum("host_s") / F.sum("host_n"), 0.5)
+    all_s, all_n = one(hosts, F.sum("host_s"), 0.0), one(hosts, F.sum("host_n"), 0)
+    rate = all_s / all_n if all_n else 0.5
     k = one(hosts, _strength("host_s", "host_n", F.lit(rate)), 1.0)
-    shrunk = hosts.select(F.col("host").alias("of_host"), ((F.col("host_s") + k * rate) / (F.col("host_n") + k)).alias("prior"))
-    paths = cut(paths.join(shrunk, F.col("host").eqNullSafe(F.col("of_host"))).drop("of_host"), "priors")
-    strength = one(paths, _strength("s", "n", F.col("prior")), 1.0)
-    return paths.withColumns({"strength": F.lit(strength), "rate": F.lit(rate)})
+    shrunk = hosts.select(F.col("host").alias("of_host"), "host_s", "host_n", ((F.col("host_s") + k * rate) / (F.col("host_n") + k)).alias("prior"))
+    held = cut(paths.join(shrunk, F.col("host").eqNullSafe(F.col("of_host"))).drop("of_host"), "priors")
+    strength = one(held, _strength("s", "n", F.col("prior")), 1.0)
+    free(paths)
+    return held.drop("prior").withColumns({"host_strength": F.lit(float(k)), "strength": F.lit(float(strength)), "all_s": F.lit(float(all_s)), "all_n": F.lit(int(all_n)).cast("long")})
+
+
+def _without(s: Column, n: Column, own: Column, strength: Column, prior: Column) -> Column:
+    """A site's shrunk rate without one document's part."""
+    return (s - own + strength * prior) / (n - 1 + strength)
 
 
 def _odds(p: Column) -> Column:
@@ -166,11 +175,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, row
     key = F.to_json(F.struct("host", "path"))  # one string for a site, nulls included
     for name in ("quality", "toxic"):
         alone = F.col(f"{name}_alone")
-        site = _site_rates(scored, f"{name}_alone").select(key.alias("key"), "n", F.struct("s", "n", "prior", "strength", "rate").alias(f"{name}_site"))
+        site = _site_sums(scored, f"{name}_alone").select(key.alias("key"), "n", F.struct("s", "n", "host_s", "host_n", "host_strength", "strength", "all_s", "all_n").alias(f"{name}_site"))
         scored = lookup(scored, key, cut(site, "sites"), f"{name}_site")
         at = F.col(f"{name}_site")
-        others = (at["s"] - alone + at["strength"] * at["prior"]) / (at["n"] - 1 + at["strength"])
-        scored = scored.withColumn(name, _probability(F.col(f"{name}_odds") + _odds(others) - _odds(at["rate"])))
+        rate = _without(at["all_s"], at["all_n"], alone, F.lit(1.0), F.lit(0.5))
+        host_rate = _without(at["host_s"], at["host_n"], alone, at["host_strength"], rate)
+        others = _without(at["s"], at["n"], alone, at["strength"], host_rate)
+        scored = scored.withColumn(name, _probability(F.col(f"{name}_odds") + _odds(others) - _odds(rate)))
     return scored.select("doc_id", "quality", "toxic", ((F.col("quality") >= 0.5) & (F.col("toxic") < TOXIC_AT)).alias("kept"), "quality_alone", "toxic_alone")
 
 
