@@ -338,6 +338,8 @@ def hot_grams(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): texts without the bytes of ``width``-byte strings that start earlier."""
+    if not 1 <= width <= 5000:
+        raise ValueError("width must be 1 to 5000: places within a step are held in 16 bits")
     blocks, n = blocked(docs)
     n *= BUCKETS
     hot = hot_grams(docs, width)
