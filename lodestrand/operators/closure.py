@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@lru_cache(1)
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="closure-")
+
+
 def _written(df: DataFrame) -> DataFrame:
     """Cut the lineage in the cluster's checkpoint folder, one of this machine's only where none is set."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="closure-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_dir()
     path = f"{root.rstrip('/')}/closure-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

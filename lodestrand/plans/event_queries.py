@@ -62,11 +62,12 @@ def ordered_fold_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alias_cycle_detection(spark: SparkSession, d: str) -> DataFrame:
-    """Event types on a cycle of types that follow one another."""
+    """Event types on a cycle of any length; a type leads to those that follow it more often than it follows them."""
     w = F.lead("event_type").over(ordered._over(["user_id"], ORDER))
-    steps = _events(spark, d).withColumn("dst", w).where(F.col("dst").isNotNull()).groupBy(F.col("event_type").alias("src"), "dst").count()
-    edges = steps.where("src < dst OR (src = 'view' AND dst = 'click')").select("src", "dst")
-    return closure.cycle_members(edges, 3)
+    steps = _events(spark, d).withColumn("dst", w).where(F.col("dst").isNotNull()).groupBy(F.col("event_type").alias("src"), "dst").agg(F.count("*").alias("n"))
+    back = steps.select(F.col("dst").alias("_src"), F.col("src").alias("_dst"), F.col("n").alias("_n"))
+    both = steps.join(back, (F.col("src") == F.col("_src")) & (F.col("dst") == F.col("_dst")), "left")
+    return closure.on_cycle(both.where(F.col("n") > F.coalesce("_n", F.lit(0))).select("src", "dst"))
 
 
 def range_containment(spark: SparkSession, d: str) -> DataFrame:
@@ -77,15 +78,17 @@ def range_containment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def provenance_remap(spark: SparkSession, d: str) -> DataFrame:
-    """Three ranges of each conversation mapped back through its turns, where one role covers them."""
+    """Each conversation, cut into ranges of 120 code points to its end, mapped back through its turns, where one role covers a range."""
     turns = ordered.running_total(table(spark, d, "conversations"), ["conv_id"], ["turn"], F.length("text"), "e")
     segments = turns.select("conv_id", "role", (F.col("e") - F.length("text")).cast("long").alias("s_start"), F.col("e").alias("s_end"), (F.col("turn") * 10_000).alias("o_start"), (F.col("turn") * 10_000 + F.length("text")).alias("o_end"))
-    ranges = table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.lit(k).cast("long") for k in (10, 300, 800)])).alias("r_start")).withColumn("r_end", F.col("r_start") + 120)
+    length = table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n")).where("n > 0")
+    ranges = length.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(120).cast("long"))).alias("r_start")).withColumn("r_end", F.col("r_start") + 120)
     return intervals.remap(ranges, segments, ["conv_id"], ["r_start"], ["role"], 512)
 
 
 def diagnostics_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("role", F.substring("text", 1, 3).alias("head")).distinct()
+    """Distinct turns by role and whole text."""
+    return table(spark, d, "conversations").select("role", "text").distinct()
 
 
 def completeness_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -126,20 +129,19 @@ WITH s AS (SELECT event_id, user_id, ts, sum(CASE event_type WHEN 'signup' THEN
 SELECT event_id, (x - least(0, min(x) OVER ({_W} ROWS UNBOUNDED PRECEDING)))::BIGINT AS depth FROM s""",
     "alias_cycle_detection": f"""
 WITH RECURSIVE s AS (SELECT event_type AS src, lead(event_type) OVER ({_W}) AS dst FROM events),
-e AS (SELECT DISTINCT src, dst FROM s WHERE src < dst OR (src = 'view' AND dst = 'click')),
-p(head, node, seen, length) AS (
-  SELECT src, dst, [src], 1 FROM e
-  UNION ALL SELECT p.head, e.dst, list_append(p.seen, p.node), p.length + 1 FROM p JOIN e ON p.node = e.src WHERE p.head <> p.node AND p.length < 3 AND (e.dst = p.head OR NOT list_contains(p.seen, e.dst)))
-SELECT head AS id, min(length)::BIGINT AS length FROM p WHERE head = node GROUP BY head""",
+n AS (SELECT src, dst, count(*) AS n FROM s WHERE dst IS NOT NULL GROUP BY src, dst),
+e AS (SELECT a.src, a.dst FROM n a LEFT JOIN n b ON a.src = b.dst AND a.dst = b.src WHERE a.n > coalesce(b.n, 0)),
+p(head, node) AS (SELECT src, dst FROM e UNION SELECT p.head, e.dst FROM p JOIN e ON p.node = e.src)
+SELECT head AS id FROM p WHERE head = node""",
     "range_containment": """
 WITH e AS (SELECT event_id, user_id, floor(value)::BIGINT AS s, floor(value)::BIGINT + 3 AS t FROM events)
 SELECT event_id FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.event_id % 10 = 0 AND b.user_id = e.user_id AND b.s - 20 <= e.s AND e.t <= b.t + 20)""",
     "provenance_remap": """
 WITH t AS (SELECT conv_id, turn, role, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS e FROM conversations),
-r AS (SELECT conv_id, unnest([10, 300, 800]) AS r_start FROM (SELECT DISTINCT conv_id FROM conversations))
+r AS (SELECT conv_id, unnest(range(0, n::BIGINT, 120)) AS r_start FROM (SELECT conv_id, sum(length(text)) AS n FROM conversations GROUP BY conv_id))
 SELECT r.conv_id, r_start::BIGINT AS r_start, min(role) AS role, min(turn * 10000)::BIGINT AS o_start, max(turn * 10000 + n)::BIGINT AS o_end
 FROM r JOIN t ON r.conv_id = t.conv_id AND t.n > 0 AND r_start < e AND e - n < r_start + 120 GROUP BY r.conv_id, r_start HAVING count(DISTINCT role) = 1""",
-    "diagnostics_dedup": "SELECT DISTINCT role, substring(text, 1, 3) AS head FROM conversations",
+    "diagnostics_dedup": "SELECT DISTINCT role, text FROM conversations",
     "completeness_rollup": """
 WITH x AS (SELECT user_id, CASE WHEN event_type = 'error' AND value > 100 THEN 2 WHEN event_type = 'error' THEN 1 ELSE 0 END AS r, event_type || '/' || CASE WHEN value > 100 THEN 'large' ELSE 'small' END AS reason FROM events)
 SELECT user_id, CASE max(r) WHEN 2 THEN 'rejected' WHEN 1 THEN 'partial' ELSE 'complete' END AS completeness, coalesce(string_agg(DISTINCT reason, ';' ORDER BY reason) FILTER (WHERE r > 0), '') AS reasons FROM x GROUP BY user_id""",

@@ -35,9 +35,9 @@ def retain_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def closure_requirement(spark: SparkSession, d: str) -> DataFrame:
-    """What suppliers and a few orders need, and how much of it."""
-    suppliers = table(spark, d, "supplier").where("s_suppkey < 5").select(_named("supplier", F.col("s_suppkey")).alias("id"), F.lit(2).alias("need"))
-    orders = table(spark, d, "orders").where("o_orderkey < 3").select(_named("order", F.col("o_orderkey")).alias("id"), F.lit(2).alias("need"))
+    """What all suppliers and orders need, and how much of it."""
+    suppliers = table(spark, d, "supplier").select(_named("supplier", F.col("s_suppkey")).alias("id"), F.lit(2).alias("need"))
+    orders = table(spark, d, "orders").select(_named("order", F.col("o_orderkey")).alias("id"), F.lit(2).alias("need"))
     return closure.closure(suppliers.unionByName(orders), _edges(spark, d)).select("id", F.col("need").cast("long").alias("need"))
 
 
@@ -132,7 +132,7 @@ SQL = {
     "retain_closure": f"""WITH RECURSIVE {_EDGES},
 c(id) AS (SELECT 'order:' || o_orderkey FROM orders WHERE o_totalprice > 400000 UNION SELECT dst FROM c JOIN e ON c.id = e.src) SELECT id FROM c""",
     "closure_requirement": f"""WITH RECURSIVE {_EDGES},
-c(id, need) AS (SELECT 'supplier:' || s_suppkey, 2 FROM supplier WHERE s_suppkey < 5 UNION SELECT 'order:' || o_orderkey, 2 FROM orders WHERE o_orderkey < 3 UNION SELECT dst, e.need FROM c JOIN e ON c.id = e.src)
+c(id, need) AS (SELECT 'supplier:' || s_suppkey, 2 FROM supplier UNION SELECT 'order:' || o_orderkey, 2 FROM orders UNION SELECT dst, e.need FROM c JOIN e ON c.id = e.src)
 SELECT id, max(need)::BIGINT AS need FROM c GROUP BY id""",
     "closure_missing_root": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "merge_checked_union": f"WITH {_COPIES} SELECT *, count(*) OVER (PARTITION BY o_orderkey) AS n_variants FROM u",
