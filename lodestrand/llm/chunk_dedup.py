@@ -1,7 +1,8 @@
 """Substring deduplication by content-defined chunks.
 
-A gear rolling hash over the last 32 bytes cuts a text wherever its top ``CUT_BITS`` bits are zero, so a
-cut depends on nearby bytes alone and an insertion moves only the cuts around it. Chunks are told apart by
+A gear rolling hash of 16 bits, so over the last 16 bytes, cuts a text wherever its top ``CUT_BITS`` bits are zero, so a
+cut depends on nearby bytes alone and an insertion moves only the cuts around it. A repeated passage loses no more than what
+lies before its first inner cut and after its last, some 32 and 16 bytes. Chunks are told apart by
 128-bit digests. Blocks announce their distinct digests once each; a digest's bucket answers every block
 but that of the smallest doc_id. A chunk is repeated if it starts earlier in its block or the answer names
 it, and a run of repeated chunks of at least ``min_run`` bytes is removed: shorter ones, phrases that
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 
 from .blocks import KEPT, Block, blocked, by_bucket, keep_rest, unpack_all
 
-CUT_BITS, MAX_CHUNK, MIN_RUN = 5, 1024, 128
-REACH = 32
+#: What counts as a repeated passage is a run of ``MIN_RUN`` bytes or more.
+CUT_BITS, MAX_CHUNK, MIN_RUN = 4, 1024, 96
+REACH = 16
 #: The gear table, from a fixed seed.
-_GEAR = np.random.default_rng(20240612).integers(0, 2**32, 256, np.uint32)
+_GEAR = np.random.default_rng(20240612).integers(0, 2**REACH, 256, np.uint16)
 _STEP = 1 << 16
 
 
@@ -35,9 +37,9 @@ def gear_cuts(data: np.ndarray) -> np.ndarray:
     for s in range(0, max(0, len(data) - REACH + 1), _STEP):
         h, m = _GEAR[data[s : s + _STEP + REACH - 1]], 1
         while m < REACH:
-            h = (h[:-m] << np.uint32(m)) + h[m:]
+            h = (h[:-m] << np.uint16(m)) + h[m:]
             m *= 2
-        found.append(np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + s + REACH)
+        found.append(np.flatnonzero(h >> np.uint16(REACH - CUT_BITS) == 0) + s + REACH)
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
