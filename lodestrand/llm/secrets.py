@@ -1,16 +1,17 @@
 """Secret scans: three fixed patterns, and a linear-chain conditional random field that adds spans.
 
-Tokens are runs of ``[A-Za-z0-9+/_.=-]``. The field labels each as begin, inside or outside of a secret
-from its shape, the words and marks around it, and features of the whole text; Viterbi finds the best
-labels. It is trained here, on sentences made from a fixed seed: secrets of many forms in many contexts,
-and what is often mistaken for one (numbers, dates, addresses, versions, links, long words).
-
-A token is *plain* if it has no digit and under ``LONG`` characters, or digits and marks alone and under
-16 of them; plain tokens are outside by construction. A chain with such fixed labels falls apart at them
-exactly, so Viterbi runs over the short islands of other tokens, whatever the text's length.
-
-Nulls and edges: a null text is empty and has no spans; offsets are code points, ends exclusive; a span of
-the field that meets a pattern's span is left out, the pattern's stay; other columns are ignored; repeated
+Tokens are runs of ``[A-Za-z0-9+/_.-]``. The field labels every one as begin, inside or outside of a secret
+from its shape, the words and marks around it, the shapes of its neighbours and features of the whole text; Viterbi finds the best
+labels. It is trained here, on sentences made from a fixed seed: secrets of many forms in many contexts, some of
+several tokens, some of letters alone, and what is often mistaken for one (numbers, dates, addresses, versions,
+links, long words, sentences about passwords).
+
+A feature is a hash of small numbers that are counted for all tokens of a batch at once, so no token is left out
+beforehand. Of a text none of whose tokens can gain anything by a label other than outside, whatever the
+labels beside it, the best path is known; Viterbi runs over all others side by side.
+
+Nulls and edges: a null text is empty and has no spans; offsets are code points, ends exclusive; the patterns'
+spans stay, and those of the field stand beside them as kind ``crf``, also where they meet; other columns are ignored; repeated
 rows are scanned row by row; an empty table gives an empty result.
 """
 
@@ -20,7 +21,6 @@ import hashlib
 import random
 import re
 import string
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,12 +36,26 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
-LONG = 24
-_IN_TOKEN = frozenset(string.ascii_letters + string.digits + "+/_.=-")
-_DIGIT, _REST, _TOKEN = re.compile("[0-9]"), re.compile(r"[A-Za-z0-9+/_.=\-]*"), re.compile(r"[A-Za-z0-9+/_.=\-]+")
-_LONG_RUN = re.compile(r"[A-Za-z0-9+/_.=\-]{%d,}" % LONG)
-FEATURES = 1 << 13
+FEATURES = 1 << 15
 OUT, BEGIN, INSIDE = 0, 1, 2
+#: Stands for a step that can't be, and for what ends a text in a batch.
+NEVER, END = -1e9, "\0"
+
+
+def _class(members: str) -> np.ndarray:
+    """Which code points below 129 are members; 128 stands for all others."""
+    out = np.zeros(129, bool)
+    out[[ord(c) for c in members]] = True
+    return out
+
+
+DIGIT, LOWER, UPPER, MARK = (_class(x) for x in (string.digits, string.ascii_lowercase, string.ascii_uppercase, "+/_.-"))
+VOWEL, HEXADECIMAL, BLANK, CODE = _class("aeiouAEIOU"), _class("0123456789abcdef"), _class(" \t"), _class("={};<>")
+IN_TOKEN = DIGIT | LOWER | UPPER | MARK
+#: Of a code point: 0 none, 1 digit, 2 lower, 3 upper, 4 mark; and its lower case.
+KIND = (DIGIT + 2 * LOWER + 3 * UPPER + 4 * MARK).astype(np.int8)
+LOWERED = np.where(UPPER, np.arange(129) + 32, np.arange(129)).astype(np.uint64)
+_POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -56,215 +70,310 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def is_plain(token: str) -> bool:
-    """Tokens that are outside by construction."""
-    if not any(c.isdigit() for c in token):
-        return len(token) < LONG
-    return len(token) < 16 and not any(c.isalpha() for c in token)
-
-
-def odd_tokens(text: str) -> list[tuple[int, int]]:
-    """Spans of the tokens that aren't plain, in order."""
-    found, at = {}, 0
-    while m := _DIGIT.search(text, at):
-        start = m.start()
-        while start > at and text[start - 1] in _IN_TOKEN:
-            start -= 1
-        at = _REST.match(text, m.end()).end()
-        found[start] = at
-    for m in _LONG_RUN.finditer(text):
-        found[m.start()] = m.end()
-    return sorted((s, e) for s, e in found.items() if not is_plain(text[s:e]))
-
-
-def _shape(token: str) -> str:
-    shape = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in token))
-    return shape if len(shape) <= 6 else f"{shape[:2]}~{shape[-2:]}"
-
-
-def file_features(text: str) -> list[str]:
-    """Of the whole text: its length and whether it looks like code or configuration."""
-    marks = sum(text.count(c) for c in "={};<>")
-    return [f"file-length:{min(6, len(text).bit_length() // 2)}", f"file-marks:{min(5, (100 * marks // (len(text) + 1)).bit_length())}"]
-
-
-def features(text: str, start: int, end: int, of_file: list[str]) -> np.ndarray:
-    """Indexes of a token's features."""
-    token = text[start:end]
-    before, after = text[max(0, start - 40) : start], text[end : end + 24]
-    kinds = [any(c.isdigit() for c in token), any(c.islower() for c in token), any(c.isupper() for c in token), any(c in "+/=_-." for c in token)]
-    turns = sum((a.isdigit() != b.isdigit()) or (a.isalpha() and b.isalpha() and a.islower() != b.islower()) for a, b in zip(token, token[1:]))
-    digits = sum(c.isdigit() for c in token)
-    previous = _TOKEN.findall(before)[-2:]
-    following = _TOKEN.search(after)
-    link = before[-1:] in "@:/.&?#" and before[-1:] != ""
-    names = [
-        "bias", f"shape:{_shape(token)}", f"length:{min(8, len(token) // 6)}", f"kinds:{kinds}", f"turns:{min(8, turns)}", f"turns-per:{min(9, 10 * turns // len(token))}", f"digits:{10 * digits // len(token)}",
-        f"different:{min(8, len(set(token)) // 4)}", f"hex:{all(c in '0123456789abcdefABCDEF' for c in token)}", f"dots:{min(3, token.count('.'))}", f"head:{token[:3].lower()}",
-        f"mark-before:{before.rstrip()[-1:]}", f"touches:{before[-1:]}", f"mark-after:{after[:1]}", f"link:{link}", f"slashes:{min(3, token.count('/'))}",
-        f"word-before:{previous[-1].lower() if previous else ''}", f"word-after:{following.group().lower() if following else ''}", f"words-before:{'|'.join(previous).lower()}",
-        f"assigned:{bool(re.search(r'[=:][ ]?.?$', before))}", f"assigned-to:{previous[-1].lower() if previous and re.search(r'[=:][ ]?.?$', before) else ''}", *of_file,
-    ]
-    return np.array([zlib.crc32(n.encode()) % FEATURES for n in names])
+class Tokens:
+    """The tokens of some texts, end to end: ``start`` and ``end`` in ``codes``, ``row`` of each, and ``base`` of each row."""
+
+    def __init__(self, rows: list[str]):
+        self.codes = np.minimum(np.frombuffer(END.join([*rows, ""]).encode("utf-32-le", "replace"), np.uint32), 128).astype(np.uint8)
+        self.base = np.r_[0, np.cumsum([len(t) + 1 for t in rows])].astype(np.int64)
+        edge = np.flatnonzero(np.diff(np.r_[False, IN_TOKEN[self.codes], False].astype(np.int8)))
+        self.start, self.end = edge[::2], edge[1::2]
+        self.row = np.searchsorted(self.base, self.start, "right") - 1
+
+    def count(self, kind: np.ndarray) -> np.ndarray:
+        """Code points of a kind in each token."""
+        seen = np.r_[0, np.cumsum(kind[self.codes], dtype=np.int32)]
+        return seen[self.end] - seen[self.start]
+
+    def words(self) -> np.ndarray:
+        """A hash of each token in lower case."""
+        size = self.end - self.start
+        at = np.repeat(self.start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum())) if len(size) else np.zeros(0, np.int64)
+        place = at - np.repeat(self.start, size)
+        total = np.r_[np.uint64(0), np.cumsum((LOWERED[self.codes[at]] + np.uint64(1)) * _POWERS[place & 63], dtype=np.uint64)]
+        edge = np.r_[0, np.cumsum(size)]
+        return total[edge[1:]] - total[edge[:-1]]
+
+
+def _beside(x: np.ndarray, row: np.ndarray, by: int) -> np.ndarray:
+    """The value ``by`` tokens on in the same text, else 0."""
+    out = np.zeros_like(x)
+    if abs(by) >= len(x):
+        return out
+    here, there = (slice(-by, None), slice(None, by)) if by < 0 else (slice(None, -by), slice(by, None))
+    out[here] = np.where(row[here] == row[there], x[there], 0)
+    return out
+
+
+def features(tokens: Tokens) -> Iterator[np.ndarray]:
+    """Arrays of one feature's index for each token."""
+    codes, row, start, end = tokens.codes, tokens.row, tokens.start, tokens.end
+    size = end - start
+    digits, lower, upper, marks = (tokens.count(k) for k in (DIGIT, LOWER, UPPER, MARK))
+    kind = KIND[codes]
+    turned = np.r_[0, np.cumsum(np.r_[False, kind[1:] != kind[:-1]], dtype=np.int32)]
+    turns = turned[end] - turned[np.minimum(start + 1, len(codes))]
+    kinds = (digits > 0) + 2 * (lower > 0) + 4 * (upper > 0) + 8 * (marks > 0)
+    length = np.where(size < 12, size, np.minimum(12 + (size - 12) // 4, 20))
+    shape = kinds * 32 + length
+    padded = np.r_[np.zeros(3, np.uint8), codes, np.zeros(3, np.uint8)]
+    touches, after, after2 = padded[start + 2], padded[end + 3], padded[end + 4]
+    place = np.arange(len(codes))
+    solid = np.maximum.accumulate(np.where(BLANK[codes], -1, place))  # the last code point up to here that isn't blank
+    mark = np.where(start > 0, codes[solid[np.maximum(start - 1, 0)]] if len(codes) else 0, 0)
+    head = sum(LOWERED[padded[start + 3 + k]] * np.uint64(200**k) * (size > k).astype(np.uint64) for k in range(3))
+    word = tokens.words()
+    previous, second, following = _beside(word, row, -1), _beside(word, row, -2), _beside(word, row, 1)
+    assigned = np.isin(mark, [ord(c) for c in "=:\"'>"])
+    before, behind = _beside(shape, row, -1), _beside(shape, row, 1)
+    code_marks = np.add.reduceat(CODE[codes].astype(np.int32), tokens.base[:-1])
+    long_text, marked = np.diff(tokens.base), None
+    marked = np.minimum(5, 100 * code_marks // long_text)
+    long_text = np.minimum(6, np.log2(long_text).astype(np.int64) // 2)
+    values = (
+        (0,), (shape,), (digits * 10 // np.maximum(size, 1), length), (turns * 10 // np.maximum(size, 1), length), (tokens.count(HEXADECIMAL) == size, length), (tokens.count(VOWEL) * 6 // np.maximum(lower + upper, 1), shape),
+        (head,), (mark, shape), (touches, kinds), (after, after2, kinds), (previous,), (second,), (previous, second), (following,), (previous, assigned, length > 5), (previous, shape), (second, previous, kinds),
+        (before, shape), (behind, shape), (word,), (size == size[np.maximum(np.arange(len(size)) - 1, 0)], before == shape, behind == shape, mark, kinds), (long_text[row], kinds), (marked[row], kinds),
+    )
+    for name, parts in enumerate(values):
+        h = np.full(len(size), 0x9E3779B97F4A7C15 * (name + 1) % 2**64, np.uint64)
+        for part in parts:
+            h = (h ^ np.asarray(part).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        yield (h % np.uint64(FEATURES)).astype(np.int32)
 
 
 class Field:
     """Weights of begin and inside by feature (outside is zero), and of each step between labels."""
 
     def __init__(self):
-        self.weight = np.zeros((FEATURES, 3))
+        self.weight = np.zeros((2, FEATURES))
         self.step = np.zeros((3, 3))
-        self.step[OUT, INSIDE] = -np.inf
-
-    def scores(self, island: list[np.ndarray]) -> np.ndarray:
-        return np.array([self.weight[f].sum(0) for f in island])
-
-    def decode(self, island: list[np.ndarray]) -> list[int]:
-        """Viterbi over an island; both its neighbours are outside."""
-        emit = self.scores(island)
-        best, back = self.step[OUT] + emit[0], []
-        for e in emit[1:]:
-            way = best[:, None] + self.step
-            back.append(way.argmax(0))
-            best = way.max(0) + e
-        label = int((best + self.step[:, OUT]).argmax())
-        labels = [label]
-        for b in reversed(back):
-            label = int(b[label])
-            labels.append(label)
-        return labels[::-1]
-
-    def learn(self, island: list[np.ndarray], labels: list[int], rate: float, decay: float) -> None:
-        """One step up the log-likelihood: expected counts by forward and backward sums."""
-        emit, n = self.scores(island), len(island)
-
-        def total(x: np.ndarray, axis: int) -> np.ndarray:
-            top = x.max(axis, keepdims=True)
-            return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
-
-        forward, backward = np.zeros((n, 3)), np.zeros((n, 3))
-        forward[0], backward[-1] = self.step[OUT] + emit[0], self.step[:, OUT]
-        for t in range(1, n):
-            forward[t] = total(forward[t - 1][:, None] + self.step, 0) + emit[t]
-        for t in range(n - 2, -1, -1):
-            backward[t] = total(self.step + emit[t + 1] + backward[t + 1], 1)
-        whole = total(forward[-1] + backward[-1], 0)
-        shift = np.zeros((3, 3))
-        ends = [OUT, *labels, OUT]
-        for a, b in zip(ends, ends[1:]):
-            shift[a, b] += 1
-        first, final = np.exp(forward[0] + backward[0] - whole), np.exp(forward[-1] + backward[-1] - whole)
-        shift[OUT] -= first
-        shift[:, OUT] -= final
-        for t in range(1, n):
-            shift -= np.exp(forward[t - 1][:, None] + self.step + emit[t] + backward[t] - whole)
-        shift[OUT, INSIDE] = 0
-        for t, f in enumerate(island):
-            push = -np.exp(forward[t] + backward[t] - whole)
-            push[labels[t]] += 1
-            push[OUT] = 0
-            np.add.at(self.weight, f, rate * push - rate * decay * self.weight[f])
-        self.step += rate * shift
-
-
-def islands(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Runs of odd tokens without a plain one between them."""
-    out: list[list[tuple[int, int]]] = []
-    for s, e in tokens:
-        if out and not _TOKEN.search(text, out[-1][-1][1], s):
-            out[-1].append((s, e))
-        else:
-            out.append([(s, e)])
+        self.step[OUT, INSIDE] = NEVER
+
+    def scores(self, tokens: Tokens) -> np.ndarray:
+        """Of each token: begin and inside."""
+        out = np.zeros((len(tokens.start), 2))
+        for index in features(tokens):
+            out[:, 0] += self.weight[0][index]
+            out[:, 1] += self.weight[1][index]
+        return out
+
+    def most_gained(self, scores: np.ndarray) -> np.ndarray:
+        """What a token can add to a path at most by begin or inside, over outside for all."""
+        into = self.step.max(0)
+        leave = max(0.0, self.step[BEGIN:, OUT].max() - self.step[OUT, OUT])
+        return np.maximum(scores[:, 0] + into[BEGIN], scores[:, 1] + into[INSIDE]) - self.step[OUT, OUT] + leave
+
+    def decode(self, chains: list[np.ndarray]) -> list[np.ndarray]:
+        """Viterbi over chains of scores side by side; before and after each is outside."""
+        order = sorted(range(len(chains)), key=lambda k: -len(chains[k]))
+        sizes = np.array([len(chains[k]) for k in order], np.int64)
+        best, back = np.tile(np.r_[0.0, NEVER, NEVER], (len(order), 1)), []
+        offs = np.r_[0, np.cumsum(sizes)]
+        flat = np.concatenate([chains[k] for k in order]) if order else np.zeros((0, 2))
+        for t in range(int(sizes[0]) if len(sizes) else 0):
+            n = int(np.searchsorted(-sizes, -t, "left"))  # chains that are longer
+            way = best[:n, :, None] + self.step
+            back.append(way.argmax(1).astype(np.int8))
+            best[:n] = way.max(1)
+            best[:n, 1:] += flat[offs[:n] + t]
+        label = (best + self.step[:, OUT]).argmax(1)
+        labels = [np.zeros(len(c), np.int8) for c in chains]
+        for t in range(len(back) - 1, -1, -1):
+            n = len(back[t])
+            for k in range(n):
+                labels[order[k]][t] = label[k]
+            label[:n] = back[t][np.arange(n), label[:n]]
+        return labels
+
+
+def field_spans(rows: list[str], field: Field) -> list[list[tuple[int, int]]]:
+    """The secrets that the field finds in each text: a begin with the insides that follow, and the ``=`` that pad it."""
+    tokens, out = Tokens(rows), [[] for _ in rows]
+    scores = field.scores(tokens)
+    able = np.unique(tokens.row[field.most_gained(scores) > 0])
+    first, last = np.searchsorted(tokens.row, able, "left"), np.searchsorted(tokens.row, able, "right")
+    for r, a, labels in zip(able.tolist(), first.tolist(), field.decode([scores[a:b] for a, b in zip(first, last)])):
+        base = int(tokens.base[r])
+        for t in np.flatnonzero(labels).tolist():
+            s, e = int(tokens.start[a + t]) - base, int(tokens.end[a + t]) - base
+            while rows[r][e : e + 1] == "=":
+                e += 1
+            if labels[t] == BEGIN:
+                out[r].append((s, e))
+            else:
+                out[r][-1] = (out[r][-1][0], e)
     return out
 
 
-def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
-    """The secrets that the field finds: a begin with the insides that follow."""
-    tokens, out = odd_tokens(text), []
-    of_file = file_features(text) if tokens else []
-    for island in islands(text, tokens):
-        for (s, e), label in zip(island, field.decode([features(text, s, e, of_file) for s, e in island])):
-            if label == BEGIN:
-                out.append((s, e))
-            elif label == INSIDE and out:
-                out[-1] = (out[-1][0], e)
-    return out
+# Made-up sentences to learn from.
+NAMES = ("auth", "pwd", "pass", "key", "client_secret", "private_key", "access_key", "credentials", "bearer", "token", "secret", "password", "api key", "api_key", "signature", "db_pass", "passphrase", "login", "pin", "recovery code", "app password", "secret key")
+PLAIN = ("is", "the", "a", "was", "for", "required", "expired", "invalid", "reset", "must", "be", "changed", "and", "of", "here", "forgot", "your", "not", "found", "please", "enter", "to", "new", "strong", "missing", "manager", "policy", "field", "rotated", "yesterday", "by", "admin", "never", "share", "it", "with", "anyone", "in", "on", "success", "ingredient", "success", "holder", "ring", "unknown", "empty", "set", "user", "server", "should", "only", "very", "long", "without", "every", "month")
+COMMON = ("river", "maple", "stone", "orange", "tiger", "window", "copper", "silent", "garden", "rocket", "planet", "velvet", "harbor", "falcon", "summer", "winter", "marble", "candle", "forest", "thunder", "hunter", "dragon", "monkey", "sunshine", "keyboard", "qwerty", "coffee", "purple", "castle", "bridge")
+
+
+class Maker:
+    """Made-up texts with the spans of their secrets."""
 
+    def __init__(self, seed: int, names: tuple[str, ...] = NAMES, common: tuple[str, ...] = COMMON):
+        self.r, self.names, self.common = random.Random(seed), names, common
+        self.parts = ["th", "er", "on", "an", "in", "ed", "re", "at", "es", "or", "ti", "la", "que", "ment", "ung", "der", "ción", "os", "aux", "eau", "wh", "ly", "sch", "ein", "è"]
 
-def training_texts(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Made-up sentences with the spans of their secrets."""
-    r = random.Random(seed)
-    pick = lambda alphabet, low, high: "".join(r.choice(alphabet) for _ in range(r.randint(low, high)))
-    parts = ["th", "er", "on", "an", "in", "ed", "re", "at", "es", "or", "ti", "la", "que", "ment", "ung", "der", "ción", "os", "aux", "eau"]
-    word = lambda: "".join(r.choice(parts) for _ in range(r.randint(1, 4)))
-    lower, upper, digit = string.ascii_lowercase, string.ascii_uppercase, string.digits
-    mixed = string.ascii_letters + digit
-    keys = ["auth", "pwd", "pass", "key", "client_secret", "private_key", "access_key", "credentials", "bearer", "token", "secret", "password", "api_key", "signature", "db_pass"]
-
-    def value() -> str:
-        return r.choice([
-            lambda: "sk-" + pick(mixed, 20, 48), lambda: "sk_live_" + pick(mixed, 20, 30), lambda: "ghp_" + pick(mixed, 30, 40), lambda: "xoxb-" + pick(digit, 10, 12) + "-" + pick(mixed, 20, 26),
-            lambda: "eyJ" + pick(mixed, 16, 30) + "." + pick(mixed + "_-", 20, 40) + "." + pick(mixed + "_-", 20, 40), lambda: pick(mixed + "+/", 28, 60) + r.choice(["", "=", "=="]), lambda: "AIza" + pick(mixed + "_-", 35, 35),
-            lambda: pick("0123456789abcdef", 16, 40), lambda: pick(mixed, 16, 40), lambda: pick(mixed, 20, 40),
+    def pick(self, alphabet: str, low: int, high: int) -> str:
+        return "".join(self.r.choice(alphabet) for _ in range(self.r.randint(low, high)))
+
+    def word(self) -> str:
+        w = "".join(self.r.choice(self.parts) for _ in range(self.r.randint(1, 4) if self.r.random() < 0.85 else self.r.randint(5, 7)))
+        return w.capitalize() if self.r.random() < 0.15 else w
+
+    def sentence(self) -> str:
+        """Words without a secret, some of them those that stand beside secrets elsewhere, some again and again."""
+        if self.r.random() < 0.06:
+            return " ".join([self.word()] * self.r.randint(3, 20))
+        return " ".join(self.r.choice(PLAIN) if self.r.random() < 0.25 else self.word() for _ in range(self.r.randint(2, 10)))
+
+    def strong(self) -> str:
+        """Strings that give themselves away."""
+        mixed = string.ascii_letters + string.digits
+        return self.r.choice([
+            lambda: "sk-" + self.pick(mixed, 20, 48), lambda: "sk_live_" + self.pick(mixed, 20, 30), lambda: "ghp_" + self.pick(mixed, 30, 40), lambda: f"xoxb-{self.pick(string.digits, 10, 12)}-{self.pick(mixed, 20, 26)}",
+            lambda: f"eyJ{self.pick(mixed, 16, 30)}.{self.pick(mixed + '_-', 20, 40)}.{self.pick(mixed + '_-', 20, 40)}", lambda: self.pick(mixed + "+/", 28, 60) + self.r.choice(["", "=", "=="]), lambda: "AIza" + self.pick(mixed + "_-", 35, 35),
+            lambda: self.pick("0123456789abcdef", 24, 64), lambda: self.pick(mixed, 20, 40), lambda: "\n".join(self.pick(mixed + "+/", 48, 64) for _ in range(self.r.randint(2, 4))),
         ])()
 
-    def decoy() -> str:
-        return r.choice([
-            lambda: pick(digit, 1, 18), lambda: ".".join(pick(digit, 1, 3) for _ in range(4)), lambda: f"{word()}.{pick(digit, 1, 3)}@mail{pick(digit, 1, 1)}.example.com", lambda: f"20{pick(digit, 2, 2)}-{pick(digit, 2, 2)}-{pick(digit, 2, 2)}",
-            lambda: f"v{pick(digit, 1, 2)}.{pick(digit, 1, 2)}.{pick(digit, 1, 2)}", lambda: f"http://{word()}.example.net/{word()}/{pick(digit, 1, 6)}", lambda: f"+{pick(digit, 1, 2)} ({pick(digit, 3, 3)}) {pick(digit, 3, 3)}-{pick(digit, 4, 4)}",
-            lambda: word() + pick(digit, 1, 4), lambda: "".join(word() for _ in range(5)), lambda: f"ISBN {pick(digit, 13, 13)}", lambda: f"section{pick(digit, 1, 2)}.{pick(digit, 1, 2)}", lambda: f"{word()}-{word()}-{pick(digit, 2, 6)}",
-            lambda: f"{pick(upper, 2, 2)}{pick(digit, 18, 22)}", lambda: f"{word()}_{word()}_{word()}_{word()}{pick(digit, 0, 2)}", lambda: f"id={pick(digit, 4, 10)}",
+    def weak(self) -> str:
+        """Strings that only their place gives away: letters alone, short ones, several tokens."""
+        mixed = string.ascii_letters + string.digits
+        some = lambda n: [self.r.choice(self.common) for _ in range(n)]
+        return self.r.choice([
+            lambda: "".join(some(self.r.randint(2, 3))), lambda: "".join(w.capitalize() for w in some(self.r.randint(2, 3))), lambda: "-".join(some(self.r.randint(2, 4))), lambda: some(1)[0].capitalize() + self.pick(string.digits, 1, 4),
+            lambda: self.pick(string.ascii_lowercase, 8, 14), lambda: self.pick(mixed, 6, 16), lambda: " ".join(self.pick(string.ascii_lowercase, 4, 4) for _ in range(4)), lambda: " ".join(self.pick("0123456789ABCDEF", 4, 4) for _ in range(self.r.randint(3, 6))),
+            lambda: " ".join(self.pick(mixed + "+/", 8, 20) for _ in range(self.r.randint(2, 4))),
         ])()
 
-    out = []
-    for _ in range(n):
+    def decoy(self) -> str:
+        digit, upper = string.digits, string.ascii_uppercase
+        name = lambda: self.r.choice(self.names)
+        return self.r.choice([
+            lambda: self.pick(digit, 1, 18), lambda: ".".join(self.pick(digit, 1, 3) for _ in range(4)), lambda: f"{self.word()}.{self.pick(digit, 1, 3)}@mail{self.pick(digit, 1, 1)}.example.com", lambda: f"20{self.pick(digit, 2, 2)}-{self.pick(digit, 2, 2)}-{self.pick(digit, 2, 2)}",
+            lambda: f"v{self.pick(digit, 1, 2)}.{self.pick(digit, 1, 2)}.{self.pick(digit, 1, 2)}", lambda: f"http://{self.word()}.example.net/{self.word()}/{self.pick(digit, 1, 6)}", lambda: f"+{self.pick(digit, 1, 2)} ({self.pick(digit, 3, 3)}) {self.pick(digit, 3, 3)}-{self.pick(digit, 4, 4)}",
+            lambda: self.word() + self.pick(digit, 1, 4), lambda: "".join(self.word() for _ in range(5)), lambda: f"ISBN {self.pick(digit, 13, 13)}", lambda: f"{self.word()}-{self.word()}-{self.pick(digit, 2, 6)}", lambda: f"{self.pick(upper, 2, 2)}{self.pick(digit, 18, 22)}",
+            lambda: f"{self.word()}_{self.word()}_{self.word()}_{self.word()}{self.pick(digit, 0, 2)}", lambda: " ".join(self.pick(digit, 4, 4) for _ in range(4)), lambda: " ".join(self.common[:3]), lambda: f"id {self.pick(digit, 4, 10)}",
+            lambda: f"{name()} {' '.join(self.r.choice(PLAIN) for _ in range(self.r.randint(2, 5)))}", lambda: f"the {name()} is {self.r.choice(PLAIN)}", lambda: f"{name()}: {self.r.choice(PLAIN)}", lambda: f"{name()} {self.word()} {self.word()}", lambda: f"{self.word()} = {self.r.choice([self.word(), self.pick(digit, 1, 6)])}", lambda: f"{self.word()}{self.r.choice([':', ' is', ' for', ' to', ' use', ' as the', ' ->'])} {self.word()}",
+            lambda: f"{self.word()}{self.r.choice([':', ' is', ' for', ' to', ' use'])} {self.word()} {self.word()} {self.word()}", lambda: f"{name()} {self.r.choice(['for', 'of', 'and', 'to'])} {self.word()} {self.word()}",
+        ])()
+
+    FORMS = ('{k} = "{v}"', "{k}={v}", "{k}: {v}", "'{k}': '{v}'", "{k} is {v}", "{k} for {w}: {v}", "{k} for {w} is {v}", "export {K}={v}", "--{k} {v}", "use {v} as the {k}", "set {k} to {v}", "Authorization: Bearer {v}", "{k} -> {v}", "my {k} is {v}")
+
+    def secret(self) -> tuple[str, str, str]:
+        """(what stands before, the secret, what stands behind)."""
+        strong = self.r.random() < 0.5
+        form = "{v}" if strong and self.r.random() < 0.3 else self.r.choice(self.FORMS)
+        k = self.r.choice(self.names)
+        form = form.replace("{k}", k).replace("{K}", k.upper().replace(" ", "_")).replace("{w}", self.word())
+        before, _, behind = form.partition("{v}")
+        return before, self.strong() if strong else self.weak(), behind
+
+    def text(self) -> tuple[str, list[tuple[int, int]]]:
         text, spans = "", []
-        for _ in range(r.randint(1, 6)):
-            text += " ".join(word() for _ in range(r.randint(2, 8))) + r.choice([" ", ". ", ", ", "\n"])
-            if r.random() < 0.4:
-                secret, form = value(), r.choice(['{k} = "{v}"', "{k}={v}", "{k}: {v}", "'{k}': '{v}'", "{k} {v}", "{v}", "export {k}={v}"])
-                head, _, tail = form.replace("{k}", r.choice(keys)).partition("{v}")
-                text += head
-                # a token may begin before the value, as in key=value
-                start = len(text)
-                while start and text[start - 1] in _IN_TOKEN:
-                    start -= 1
-                spans.append((start, len(text) + len(secret)))
-                text += secret + tail + r.choice([" ", ". ", "\n", ", "])
-            elif r.random() < 0.8:
-                text += decoy() + r.choice([" ", ", ", ". "])
-        out.append((text, spans))
+        for _ in range(self.r.randint(1, 5)):
+            text += self.sentence() + self.r.choice([" ", ". ", ", ", "\n"])
+            if self.r.random() < 0.4:
+                before, value, behind = self.secret()
+                text += before
+                spans.append((len(text), len(text) + len(value)))
+                text += value + behind + self.r.choice([". ", "\n", ", ", " ; "])
+            elif self.r.random() < 0.8:
+                text += self.decoy() + self.r.choice([" ", ", ", ". ", "\n"])
+        return text, spans
+
+
+def labels_of(tokens: Tokens, spans: list[list[tuple[int, int]]]) -> np.ndarray:
+    """The label of each token that the texts' spans give."""
+    out = np.zeros(len(tokens.start), np.int64)
+    for r, of_row in enumerate(spans):
+        for a, b in of_row:
+            a, b = a + tokens.base[r], b + tokens.base[r]
+            hit = np.flatnonzero((tokens.start < b) & (tokens.end > a))
+            out[hit[:1]], out[hit[1:]] = BEGIN, INSIDE
     return out
 
 
-def labelled(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[list[np.ndarray], list[int]]]:
-    """The islands of a text with the labels that ``spans`` give."""
-    of_file = file_features(text)
-    for island in islands(text, odd_tokens(text)):
-        labels = []
-        for s, e in island:
-            hit = next(((a, b) for a, b in spans if a < e and s < b), None)
-            labels.append(OUT if hit is None else BEGIN if s <= hit[0] or not labels or labels[-1] == OUT else INSIDE)
-        yield [features(text, s, e, of_file) for s, e in island], labels
+def _total(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis)
+    return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))
+
+
+def trained(made: list[tuple[str, list[tuple[int, int]]]], rounds: int, rate: float = 0.5, decay: float = 2e-5) -> Field:
+    """A field by full gradients of the log-likelihood, with steps by AdaGrad; expected counts by forward and backward sums over all texts side by side."""
+    made = sorted(made, key=lambda m: -len(Tokens([m[0]]).start))
+    tokens, field = Tokens([t for t, _ in made]), Field()
+    label = labels_of(tokens, [s for _, s in made])
+    index = np.stack(list(features(tokens)))
+    sizes = np.bincount(tokens.row, minlength=len(made))
+    offs, rows = np.r_[0, np.cumsum(sizes)], np.arange(len(made))
+    active = [int((sizes > t).sum()) for t in range(int(sizes.max()))]
+    ends = np.zeros((3, 3))
+    same = tokens.row[1:] == tokens.row[:-1]
+    np.add.at(ends, (label[:-1][same], label[1:][same]), 1)
+    filled = sizes > 0
+    np.add.at(ends, (OUT, label[offs[:-1][filled]]), 1)
+    np.add.at(ends, (label[offs[1:][filled] - 1], OUT), 1)
+    seen, seen_step = np.full((2, FEATURES), 1e-6), np.full((3, 3), 1e-6)
+    for _ in range(rounds):
+        emit = np.zeros((len(label), 3))
+        for k in (0, 1):
+            emit[:, k + 1] = field.weight[k][index].sum(0)
+        forward, backward = np.zeros((len(label), 3)), np.zeros((len(label), 3))
+        forward[offs[:-1][filled]] = field.step[OUT] + emit[offs[:-1][filled]]
+        for t in range(1, len(active)):
+            at = offs[rows[: active[t]]] + t
+            forward[at] = _total(forward[at - 1][:, :, None] + field.step, 1) + emit[at]
+        backward[offs[1:][filled] - 1] = field.step[:, OUT]
+        for t in range(len(active) - 2, -1, -1):
+            at = offs[rows[: active[t + 1]]] + t
+            backward[at] = _total(field.step + (emit[at + 1] + backward[at + 1])[:, None, :], 2)
+        whole = _total(forward[offs[1:][filled] - 1] + field.step[:, OUT], 1)
+        of_token = np.repeat(whole, sizes[filled])
+        share = np.exp(forward + backward - of_token[:, None])
+        inner = np.flatnonzero(same)
+        shift = ends - np.exp(forward[inner][:, :, None] + field.step + (emit[inner + 1] + backward[inner + 1])[:, None, :] - of_token[inner][:, None, None]).sum(0)
+        shift[OUT] -= share[offs[:-1][filled]].sum(0)
+        shift[:, OUT] -= share[offs[1:][filled] - 1].sum(0)
+        shift[OUT, INSIDE] = 0
+        for k in (0, 1):
+            push = np.tile((label == k + 1) - share[:, k + 1], len(index))
+            g = np.bincount(index.ravel(), push, FEATURES) / len(made) - decay * field.weight[k]
+            seen[k] += g * g
+            field.weight[k] += rate * g / np.sqrt(seen[k])
+        g = shift / len(made)
+        seen_step += g * g
+        field.step += rate * g / np.sqrt(seen_step)
+    return field
 
 
 @lru_cache(1)
-def trained_field(n: int = 2500, rounds: int = 4, seed: int = 17) -> Field:
+def trained_field(n: int = 2000, rounds: int = 60, seed: int = 17) -> Field:
     """A field trained on ``n`` made-up texts; the same for the same arguments."""
-    field, data = Field(), [x for text, spans in training_texts(n, seed) for x in labelled(text, spans)]
-    order = random.Random(seed)
-    for k in range(rounds):
-        order.shuffle(data)
-        for island, labels in data:
-            field.learn(island, labels, 0.2 / (1 + k), 1e-3)
-    return field
+    maker = Maker(seed)
+    return trained([maker.text() for _ in range(n)], rounds)
 
 
-def all_spans(text: str, field: Field) -> list[tuple[int, int, int]]:
-    """The patterns' spans and those that the field adds."""
-    base = base_spans(text)
-    more = [(s, 3, e) for s, e in field_spans(text, field) if not any(a < e and s < b for a, _, b in base)]
-    return sorted(base + more)
+#: Texts whose tokens are scored at once, by code points; one text over it is scored alone.
+SCORED = 1 << 20
+
+
+def all_spans(rows: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
+    """Of each text the patterns' spans and those of the field."""
+    out, held, size = [], [], 0
+    for k, text in enumerate(rows):
+        held.append(text)
+        size += len(text)
+        if size >= SCORED or k == len(rows) - 1:
+            out += [sorted(base_spans(t) + [(s, 3, e) for s, e in more]) for t, more in zip(held, field_spans(held, field))]
+            held, size = [], 0
+    return out
 
 
 def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -274,7 +383,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in all_spans(text, field)] for text in batch.column("text").to_pylist()]
+            spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found] for found in all_spans(batch.column("text").to_pylist(), field)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
 
     return texts(docs).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
