@@ -2,9 +2,11 @@
 
 The automaton holds all pieces. One pass over a text follows, at each position, the output links to every
 piece that ends there, and relaxes the best path to that position from the best path to the piece's start.
-For a unigram model a path's score is the sum of its pieces' scores. For a BPE model a path is as good as
-its merges: a piece may follow another only if merging leaves just these two side by side, and then exactly
-one path, the one that the merges give, survives at each position; that test is remembered for each pair.
+A path's score is the sum of its pieces' scores. In a unigram model any piece may follow any other. In a BPE
+model a step scores minus infinity unless merging leaves just the two pieces side by side, so exactly
+one path, the one that the merges give, has a finite score at each position; that test is remembered for each pair.
+The kind, and whether a space is put first, are read from the model; a model that maps or trims characters, or has
+symbols of its user's, is refused with an error, since its ids would not be the library's.
 
 A text is cut beforehand only where no piece can reach over: before a run of spaces, around line feeds and
 other characters that no piece has, and between a letter and a mark if no piece has such a pair. Parts are
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,28 +33,79 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import texts, whole
+from .shared import small_batches, texts, whole
 
 SPACE = "▁"
 #: Entries of each of the two generations of remembered parts, the longest part that is remembered, and remembered pairs.
-#: A worker outlives its stage, so these bound what it holds while others run: some 60 MB.
-CACHE, CACHED, PAIRS = 60_000, 48, 200_000
+#: A worker outlives its stage, so these bound what it holds while others run: some 180 MB.
+CACHE, CACHED, PAIRS = 250_000, 48, 400_000
+#: Kinds of model and of piece by their numbers in a model file.
+KINDS, USER_DEFINED = {1: "unigram", 2: "bpe"}, 4
+
+
+def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a protocol buffer message: an int for a varint, else bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value, shift = 0, 0
+        while True:
+            b = message[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(message):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(key & 7) or varint()
+        yield key >> 3, message[at : at + size]
+        at += size
+
+
+def settings(model: bytes) -> tuple[str, bool]:
+    """(kind, whether a space is put first) of a model file's bytes; ``ValueError`` for what the operator doesn't do."""
+    kind, space = 1, True
+    for number, value in fields(model):
+        if number == 1 and dict(fields(value)).get(3, 1) == USER_DEFINED:
+            raise ValueError("the model has symbols of its user's")
+        if number == 2:
+            trainer = dict(fields(value))
+            kind = trainer.get(3, 1)
+            if trainer.get(24, 0):
+                raise ValueError("the model treats white space as a suffix")
+        if number == 3:
+            rules = dict(fields(value))
+            space = bool(rules.get(3, 1))
+            if rules.get(2) or rules.get(4, 1) or not rules.get(5, 1):
+                raise ValueError("the model maps characters, trims white space, or keeps spaces as they are")
+    if kind not in KINDS:
+        raise ValueError(f"the model is neither unigram nor BPE: type {kind}")
+    return KINDS[kind], space
 
 
 def default_model() -> str:
     """The path of the public BPE model of 32,000 pieces; only a default, the operators take any path."""
-    import public_tokenizers
-
+    try:
+        import public_tokenizers
+    except ImportError as e:
+        raise ImportError("no default model here: give the path of a SentencePiece model") from e
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
 class Pieces:
     """A model's pieces, the automaton over them, and the two directions."""
 
-    def __init__(self, path: str, kind: str = "bpe"):
+    def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(model.get_piece_size())
-        self.kind, self.unknown = kind, model.unk_id()
+        self.kind, self.space = settings(model.serialized_model_proto())
+        self.unknown = model.unk_id()
         special = {i for i in ids if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.names = {i: model.id_to_piece(i) for i in ids if i not in special}
         self.score = {i: model.get_score(i) for i in self.names}
@@ -109,30 +163,33 @@ class Pieces:
 
     def _path(self, text: str) -> list[int]:
         """The best path over ``text``, whose characters all have pieces."""
-        n = len(text)
-        last, length = [-1] * (n + 1), [0] * (n + 1)
-        if self.kind == "bpe":
-            beside, may_follow = self.beside, self.may_follow
-            for end, (piece, size) in self.automaton.iter(text):
-                if last[end + 1] < 0:
-                    start = end + 1 - size
-                    left = last[start]
-                    if left >= 0 or not start:
-                        known = beside.get(left << 32 | piece)
-                        if may_follow(left, piece) if known is None else known:
-                            last[end + 1], length[end + 1] = piece, size
-        else:
-            best = [0.0] + [float("-inf")] * n
-            for end, (piece, size) in self.automaton.iter(text):
-                score = best[end + 1 - size] + self.score[piece]
-                if score > best[end + 1]:
-                    best[end + 1], last[end + 1], length[end + 1] = score, piece, size
+        n, never = len(text), float("-inf")
+        best, last, start = [never] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        score, one = self.score, self.kind == "bpe"
+        beside, may_follow = self.beside, self.may_follow
+        for end, (piece, size) in self.automaton.iter(text):
+            end += 1
+            at = end - size
+            so_far = best[at]
+            # no second path of a BPE model has a finite score
+            if so_far == never or one and best[end] != never:
+                continue
+            if one:
+                known = beside.get(last[at] << 32 | piece)
+                if known is None:
+                    known = may_follow(last[at], piece)
+                if not known:
+                    continue
+            so_far += score[piece]
+            if so_far > best[end]:
+                best[end], last[end], start[end] = so_far, piece, at
         out = []
         while n:
             if last[n] < 0:
                 raise ValueError(f"no path to position {n} of {text!r}")
             out.append(last[n])
-            n -= length[n]
+            n = start[n]
         return out[::-1]
 
     def _part(self, part: str) -> list[int]:
@@ -153,12 +210,12 @@ class Pieces:
         if not text:
             return np.zeros(0, np.int32)
         out = []
-        for part in self.parts.findall(SPACE + text.replace(" ", SPACE)):
+        for part in self.parts.findall((SPACE if self.space else "") + text.replace(" ", SPACE)):
             ids = self.new.get(part)
             if ids is None:
                 ids = self.old.get(part)
                 if ids is None:
-                    ids = np.array(self._part(part), np.int32).tobytes()
+                    ids = array("i", self._part(part)).tobytes()
                 if len(part) <= CACHED:
                     if len(self.new) >= CACHE:
                         self.old, self.new = self.new, {}
@@ -168,13 +225,14 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that encoding puts first goes."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return text.removeprefix(" ") if self.space else text
 
 
 @lru_cache(2)
-def pieces(path: str, kind: str = "bpe") -> Pieces:
+def pieces(path: str) -> Pieces:
     """Loaded once in each Python worker."""
-    return Pieces(path, kind)
+    return Pieces(path)
 
 
 def _add(df: DataFrame, of: str, name: str, kind: str, f) -> DataFrame:
@@ -182,6 +240,7 @@ def _add(df: DataFrame, of: str, name: str, kind: str, f) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     field = StructType.fromDDL(f"x {kind}")["x"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,14 +254,14 @@ def _add(df: DataFrame, of: str, name: str, kind: str, f) -> DataFrame:
     return df.select(whole(df).alias("row"), F.col(of).alias("value")).mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, path: str, kind: str = "bpe", name: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, name: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of ``text`` in column ``name``, last; one of that name is replaced."""
-    return _add(docs, "text", name, "array<int>", lambda text: pieces(path, kind).encode(text or ""))
+    return _add(docs, "text", name, "array<int>", lambda text: pieces(path).encode(text or ""))
 
 
-def decode(ids: DataFrame, path: str, kind: str = "bpe", of: str = "token_ids", name: str = "decoded") -> DataFrame:
+def decode(ids: DataFrame, path: str, of: str = "token_ids", name: str = "decoded") -> DataFrame:
     """``ids`` with the text of column ``of`` in column ``name``, last; one of that name is replaced."""
-    return _add(ids, of, name, "string", lambda x: None if x is None else pieces(path, kind).decode(x))
+    return _add(ids, of, name, "string", lambda x: None if x is None else pieces(path).decode(x))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
