@@ -20,7 +20,6 @@ from .parsing import Node
 MODELLED = frozenset({"cdecl", "stdcall", "fastcall", "thiscall", "vectorcall", "regcall", "ms_abi", "sysv_abi", "pcs", "visibility", "deprecated", "unused", "warn_unused_result", "nonnull", "noreturn"})
 CONVENTIONS = frozenset({"cdecl", "stdcall", "fastcall", "thiscall", "vectorcall", "regcall", "ms_abi", "sysv_abi", "pcs"})
 VISIBILITIES = frozenset({"default", "hidden", "protected", "internal"})
-_RANKS = {"char": "char", "short": "short", "long": "long"}
 _NULLABLE = {"_Nonnull": "nonnull", "_Nullable": "nullable", "_Null_unspecified": "unspecified"}
 SUPPORTED, PARTIAL, UNSUPPORTED = 0, 1, 2
 
@@ -145,16 +144,17 @@ class Extraction:
             if item.kind == "StaticAssert":
                 self.report("P1200", "static assertion", item)
             elif item.kind in ("Declaration", "FunctionDefinition"):
+                self.lower(item)
+                made = [self.declarations[i] for i in dict.fromkeys(self.names[n] for n, _ in self.declared(item)) if i in self.declarations]
                 for node in item.children:
                     if node.kind == "FunctionSpecifier":
-                        self.report("E1217", f"function specifier {node.attrs['name']}", node)
+                        self.demote(made, "E1217", f"function specifier {node.attrs['name']}", node)
                     if node.kind == "AlignmentSpecifier":
-                        self.report("E1216", "explicit alignment", node)
-                self.lower(item)
+                        self.demote(made, "E1216", "explicit alignment", node)
         for d in self.declarations.values():
             if not d.occurrences:
                 self.report("E1208", "no occurrence", self.unit, d.id)
-            if d.support[0]:
+            if d.support[0] and not any(x["code"] == d.support[1] and x["declaration"] == d.id for x in self.diagnostics):
                 self.diagnostics.append({"code": d.support[1], "message": f"{d.kind} {d.name or '(unnamed)'} is not fully modelled", "start": d.occurrences[0]["start"] if d.occurrences else 0, "end": d.occurrences[0]["end"] if d.occurrences else 0, "declaration": d.id})
         unique = {tuple(sorted((k, str(v)) for k, v in x.items())): x for x in self.diagnostics}
         self.diagnostics = sorted(unique.values(), key=lambda x: (x["code"], x["start"], x["end"], x["message"], x["declaration"] or ""))
@@ -176,7 +176,7 @@ class Extraction:
 
     def declare(self, name: str, item: Node, declarator: Node, base: dict, storages: list[str], body: bool, extensions: list[Node]) -> None:
         extensions = [*extensions, *declarator.find("Attribute"), *declarator.find("AsmLabel")]
-        made = self.derived(base, declarator, False)
+        made = self.finished(base, declarator, False)
         typedef = "typedef" in storages
         kind = "alias" if typedef else "function" if made["kind"] == "function" else "variable"
         storage = next((s for s in storages if s not in ("typedef", "constexpr")), None)
@@ -208,17 +208,35 @@ class Extraction:
         ordinal = sum(1 for o in d.occurrences if o["tokens"] == tokens)
         d.occurrences.append({"id": framed_hash("occ1_", d.id, str(ordinal), *tokens), "start": node.start, "end": node.end, "tokens": tokens, "ordinal": ordinal, "storage": storage, "definition": definition})
 
+    def demote(self, made: list[Declaration], code: str, message: str, node: Node) -> None:
+        """Report for each declaration, or for none, and take its support away unless it has gone already."""
+        for d in made:
+            self.report(code, message, node, d.id)
+            if not d.support[0]:
+                d.support = (UNSUPPORTED, code)
+        if not made:
+            self.report(code, message, node)
+
+    def conflict(self, d: Declaration, message: str, node: Node) -> None:
+        """One entity is declared in ways that don't go together."""
+        self.report("E1204", message, node, d.id)
+        d.support = (UNSUPPORTED, "E1204")
+
+    def limited(self, d: Declaration, made: dict) -> None:
+        """The declaration is no better supported than a type in it."""
+        rows = type_rows(made)
+        code = next((r["attrs"]["code"] for r in rows if r["kind"] == "unsupported"), None) or next((r["attrs"]["partial"] for r in rows if "partial" in r["attrs"]), None)
+        if code and not d.support[0]:
+            d.support = (PARTIAL if code[0] == "P" else UNSUPPORTED, code)
+
     def settle(self, d: Declaration, kind: str, made: dict, node: Node) -> None:
         """First type stays; an equal one is kept, a different one is a conflict. Parameter names do not count."""
         plain = lambda t: type_rows({k: v for k, v in t.items() if k != "names"})
         if d.type is None:
             d.kind, d.type = kind, made
-            rows = type_rows(made)
-            code = next((r["attrs"]["code"] for r in rows if r["kind"] == "unsupported"), None) or next((r["attrs"]["partial"] for r in rows if "partial" in r["attrs"]), None)
-            if code and not d.support[0]:
-                d.support = (PARTIAL if code[0] == "P" else UNSUPPORTED, code)
+            self.limited(d, made)
         elif d.kind != kind or plain(d.type) != plain(made):
-            self.report("E1204", f"incompatible redeclaration of {d.name}", node, d.id)
+            self.conflict(d, f"incompatible redeclaration of {d.name}", node)
 
     def attributes(self, d: Declaration, nodes: list[Node], item: Node) -> None:
         seen = set()
@@ -322,10 +340,33 @@ class Extraction:
             return {"kind": "int", "rank": ("int", "long", "long long")[longs], "signed": not unsigned}
         return unsupported("E1100", "invalid specifiers")
 
+    def points(self, of: dict) -> bool:
+        """Whether a type is a pointer, itself or through aliases."""
+        seen = set()
+        while of["kind"] == "alias" and of["ref"] not in seen:
+            seen.add(of["ref"])
+            target = self.declarations.get(of["ref"])
+            if target is None or target.type is None:
+                return False
+            of = target.type
+        return of["kind"] == "pointer"
+
+    def finished(self, base: dict, declarator: Node | None, parameter: bool) -> dict:
+        """The declarator applied to the specifiers' type; ``restrict`` and nullability among these go to the outcome, which must be a pointer."""
+        quals, nullable = base.get("quals", frozenset()), base.get("nullability")
+        if "restrict" not in quals and nullable is None or base["kind"] == "unsupported":
+            return self.derived(base, declarator, parameter) if declarator else base
+        bare = {k: v for k, v in base.items() if k not in ("quals", "nullability")} | ({"quals": quals - {"restrict"}} if quals - {"restrict"} else {})
+        made = self.derived(bare, declarator, parameter) if declarator else bare
+        if not self.points(made):
+            return unsupported("E1100", "restrict or nullability on what is no pointer")
+        more = {"quals": made.get("quals", frozenset()) | {"restrict"}} if "restrict" in quals else {}
+        return made | more | ({"nullability": nullable} if nullable is not None else {})
+
     def type_name(self, node: Node) -> dict:
         base = self.base_type([c for c in node.children if c.kind in ("TypeSpecifier", "TypeQualifier", "Record", "Enum")])
         inner = node.find("Declarator")
-        return self.derived(base, inner[0], False) if inner else base
+        return self.finished(base, inner[0] if inner else None, False)
 
     def derived(self, of: dict, declarator: Node, parameter: bool) -> dict:
         """Inside out: pointers, then arrays and functions from the last, then the nested declarator."""
@@ -362,7 +403,7 @@ class Extraction:
         for p in given:
             base = self.base_type([c for c in p.children if c.kind in ("TypeSpecifier", "TypeQualifier", "Record", "Enum")])
             inner = p.find("Declarator")
-            params.append(self.derived(base, inner[0], True) if inner else base)
+            params.append(self.finished(base, inner[0] if inner else None, True))
             names.append(p.attrs.get("name"))
         if len(params) == 1 and params[0] == {"kind": "void"} and names == [None]:
             params, names, prototype = [], [], "prototyped"
@@ -373,11 +414,14 @@ class Extraction:
     def record(self, node: Node) -> dict:
         key = self.tag(node)
         d = self.get(key, "tag", "global", node.attrs.get("name"))
-        d.kind, d.linkage = "record", "none"
-        d.type = d.type or {"kind": "record", "ref": key, "form": node.attrs["kind"]}
         body = bool(node.attrs.get("body"))
+        if d.kind not in ("", "record") or d.type and d.type.get("form") != node.attrs["kind"]:
+            self.conflict(d, f"{d.name or '(unnamed)'} is declared as another kind of tag", node)
+            body = False
+        d.kind, d.linkage = d.kind or "record", "none"
+        d.type = d.type or {"kind": "record", "ref": key, "form": node.attrs["kind"]}
         if body and d.complete:
-            self.report("E1204", f"{d.name or '(unnamed)'} is defined twice", node, key)
+            self.conflict(d, f"{d.name or '(unnamed)'} is defined twice", node)
         elif body:
             d.complete = True
             fields = node.find("StructField")
@@ -385,7 +429,7 @@ class Extraction:
                 base = self.base_type([c for c in f.children if c.kind in ("TypeSpecifier", "TypeQualifier", "Record", "Enum")])
                 for s in f.find("StructDeclarator") or [None]:
                     inner = s.find("Declarator") if s else []
-                    made = self.derived(base, inner[0], False) if inner else base
+                    made = self.finished(base, inner[0] if inner else None, False)
                     last = f is fields[-1] and (s is None or s is f.find("StructDeclarator")[-1])
                     if made["kind"] == "array" and made["bound"] == "incomplete":
                         made = made | {"bound": "flexible"} if last and d.children and node.attrs["kind"] == "struct" else unsupported("E1212", "unsized field is not last")
@@ -396,16 +440,21 @@ class Extraction:
                     elif width and bits < 0:
                         self.report("E1207", "bit-field width is negative", width[0], key)
                     d.children.append({"role": "field", "ordinal": len(d.children), "name": inner[0].attrs.get("name") if inner else None, "type": made, "bits": bits})
-        self.occur(d, node, None, body)
+                    self.limited(d, made)
+        self.occur(d, node, None, bool(node.attrs.get("body")))
         return {"kind": "record", "ref": key, "form": node.attrs["kind"], "name": node.attrs.get("name")}
 
     def enumeration(self, node: Node) -> dict:
         """Implicit values count on from the one before; after one that is not a literal they stay unknown."""
         key = self.tag(node)
         d = self.get(key, "tag", "global", node.attrs.get("name"))
-        d.kind, d.linkage = "enum", "none"
+        if d.kind not in ("", "enum"):
+            self.conflict(d, f"{d.name or '(unnamed)'} is declared as another kind of tag", node)
+        elif node.attrs.get("body") and d.complete:
+            self.conflict(d, f"{d.name or '(unnamed)'} is defined twice", node)
+        d.kind, d.linkage = d.kind or "enum", "none"
         d.type = d.type or {"kind": "enum", "ref": key}
-        if node.attrs.get("body") and not d.complete:
+        if node.attrs.get("body") and not d.complete and d.kind == "enum":
             d.complete, value = True, -1
             for m in node.find("Enumerator"):
                 given = [c for c in m.children if c.kind != "Attribute"]

@@ -217,7 +217,12 @@ class Unit:
             if self.read > limits.total_bytes:
                 self.ceiling("E2202", "total bytes", path)
             self.used[path] = "builtin" if path.startswith(BUILTIN) else role
-        tokens = tokenize(raw.decode("utf-8", "replace"), path, chain)
+        try:
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError as e:
+            self.report("E2214", "the file is not UTF-8 and is left out", path, e.start, e.end)
+            return []
+        tokens = tokenize(text, path, chain)
         self.guards[path] = guard_of(tokens)
         self.lexed += len(tokens)
         if self.lexed > limits.tokens:

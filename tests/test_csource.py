@@ -182,3 +182,9 @@ def test_external_commands():
         with pytest.raises(ExternalFailure) as e:
             call(code, **more)
         assert e.value.code == expected
+
+
+def test_a_file_that_is_not_utf8_is_left_out():
+    unit = Unit(Config(["main.c"], policy="checked"), {"main.c": b'#include "a.h"\nx\n', "a.h": b"ok \xff\n"}).run()
+    assert codes(unit) == ["E2214"] and (unit.diagnostics[0].file, unit.diagnostics[0].start) == ("a.h", 3)
+    assert words(unit) == "x"

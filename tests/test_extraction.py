@@ -96,3 +96,21 @@ def test_partial_support():
     codes = lambda text: [d["code"] for d in of(text).diagnostics]
     assert codes("_Float16 x;") == ["P1108"] and codes("_BitInt(7) y;") == ["P1107"] and codes("enum e { A __attribute__((odd)) = 1 };") == ["P1202"]
     assert codes("int * __attribute__((odd)) p;") == ["P1102"]
+
+
+def codes(text):
+    return [(d["code"], d["declaration"] is not None) for d in of(text).diagnostics]
+
+
+def test_conflicts_and_misplaced_parts():
+    out = of("struct s { int a; int b[]; int c; };")
+    assert codes("struct s { int a; int b[]; int c; };") == [("E1212", True)] and named(out, "s").support[1] == "E1212"
+    for text in ("enum e { A }; enum e { B };", "struct s; union s { int a; };", "struct t { int a; }; enum t { B };", "int x; long x;"):
+        assert codes(text) == [("E1204", True)]
+    assert codes("inline int f(void);") == [("E1217", True)] and named(of("inline int f(void);"), "f").support[1] == "E1217"
+
+
+def test_restrict_needs_a_pointer():
+    assert codes("int restrict x;") == [("E1100", True)]
+    assert not codes("typedef int *P; typedef P Q; Q restrict x; int *restrict y; void f(P restrict p);")
+    assert "restrict" in named(of("typedef int *P; P restrict x;"), "x").type["quals"]
