@@ -32,10 +32,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: its token ids, their number, and whether they decode to the text."""
-    path = sentencepieces.default_model()
-    ids = sentencepieces.encode(docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")), path)
-    back = sentencepieces.decode(ids, path)
-    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"), "token_ids")
+    rows = sentencepieces.encode_and_decode(docs.select("doc_id", "text"), sentencepieces.default_model())
+    return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "round_trip", "token_ids")
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", benchmark), ("SentencePiece encoding", tokens)]

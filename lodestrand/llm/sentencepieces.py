@@ -235,33 +235,46 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _add(df: DataFrame, of: str, name: str, kind: str, f) -> DataFrame:
-    """``df`` with one more column; ``f`` makes it from the Python values of column ``of``."""
+def _add(df: DataFrame, of: str, columns: dict[str, str], f) -> DataFrame:
+    """``df`` with more columns, of names and types; ``f`` makes a row's values, in their order, from the Python value of column ``of``."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
     small_batches(df.sparkSession)
-    field = StructType.fromDDL(f"x {kind}")["x"].dataType
+    fields = [StructType.fromDDL(f"x {kind}")["x"].dataType for kind in columns.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("row")
-            made = pa.array([f(x.as_py()) for x in batch.column("value")], to_arrow_type(field))  # one row's Python values at a time
-            kept = [(c.name, v) for c, v in zip(row.type, row.flatten()) if c.name != name]
-            yield pa.RecordBatch.from_arrays([*[v for _, v in kept], made], [*[k for k, _ in kept], name])
-
-    schema = StructType([f for f in df.schema.fields if f.name != name]).add(name, field)
+            made = [f(x.as_py()) for x in batch.column("value")]  # one row's Python values at a time
+            added = [pa.array([m[k] for m in made], to_arrow_type(t)) for k, t in enumerate(fields)]
+            kept = [(c.name, v) for c, v in zip(row.type, row.flatten()) if c.name not in columns]
+            yield pa.RecordBatch.from_arrays([*[v for _, v in kept], *added], [*[k for k, _ in kept], *columns])
+
+    schema = StructType([f for f in df.schema.fields if f.name not in columns])
+    for name, t in zip(columns, fields):
+        schema = schema.add(name, t)
     return df.select(whole(df).alias("row"), F.col(of).alias("value")).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str, name: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of ``text`` in column ``name``, last; one of that name is replaced."""
-    return _add(docs, "text", name, "array<int>", lambda text: pieces(path).encode(text or ""))
+    return _add(docs, "text", {name: "array<int>"}, lambda text: (pieces(path).encode(text or ""),))
 
 
 def decode(ids: DataFrame, path: str, of: str = "token_ids", name: str = "decoded") -> DataFrame:
     """``ids`` with the text of column ``of`` in column ``name``, last; one of that name is replaced."""
-    return _add(ids, of, name, "string", lambda x: None if x is None else pieces(path).decode(x))
+    return _add(ids, of, {name: "string"}, lambda x: (None if x is None else pieces(path).decode(x),))
+
+
+def encode_and_decode(docs: DataFrame, path: str, name: str = "token_ids", same: str = "round_trip") -> DataFrame:
+    """``docs`` with the ids of ``text``, and whether they decode to it (null: to the empty text), in two last columns; both ways in one Python worker."""
+
+    def both(text: str | None) -> tuple[np.ndarray, bool]:
+        ids = pieces(path).encode(text or "")
+        return ids, pieces(path).decode(ids.tolist()) == (text or "")
+
+    return _add(docs, "text", {name: "array<int>", same: "boolean"}, both)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -516,6 +516,10 @@ def test_encode_and_decode_columns(odd, empty):
     path = sentencepieces.default_model()
     out = sentencepieces.decode(sentencepieces.encode(odd, path), path)
     assert out.columns == [*odd.columns, "token_ids", "decoded"]
+    both = sentencepieces.encode_and_decode(odd, path)
+    assert both.columns == [*odd.columns, "token_ids", "round_trip"]
+    apart = {(r["doc_id"], tuple(r["token_ids"]), r["decoded"] == (r["text"] or "")) for r in out.collect()}
+    assert {(r["doc_id"], tuple(r["token_ids"]), r["round_trip"]) for r in both.collect()} == apart
     again = sentencepieces.encode(out, path)
     assert again.columns == [*odd.columns, "decoded", "token_ids"] and again.count() == odd.count()
     assert all(r.decoded == (r.text or "") for r in out.collect())
