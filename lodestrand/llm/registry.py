@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries; each has QUERIES and SQL.
-MODULES = ("line_dedup", "conversation_trie", "filter_audit", "quality_rules", "warc", "suffix_dedup", "chunk_dedup", "simhash", "sentencepieces", "secrets", "quality_bayes", "decontaminate")
+MODULES = ("line_dedup", "conversation_trie", "toxicity", "filter_audit", "quality_rules", "warc", "suffix_dedup", "chunk_dedup", "simhash", "sentencepieces", "secrets", "quality_bayes", "decontaminate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
