@@ -2,49 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-@lru_cache(1)
-def _local_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="closure-")
+from .storage import drop, written
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's checkpoint folder, one of this machine's only where none is set."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = _local_dir()
-    path = f"{root.rstrip('/')}/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Ids of a round up to which they are broadcast, by their written count.
+SMALL = 1 << 18
 
 
 def closure(roots: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(id, need): all ids reachable from ``roots`` (id, need) over ``edges`` (src, dst, need), cycles included.
 
     ``need`` is an integer rank of which an id keeps the maximum; an edge asks for its own need, whoever refers.
-    Each round joins only the ids whose need rose in the last one with the edges.
+    Each round joins only the ids whose need rose in the last one with the edges, and looks only what they reach up among those
+    known; both without a shuffle of the larger side while a round is small. What is known is added up once, at the end.
     """
     best = lambda df: df.groupBy("id").agg(F.max("need").alias("need"))
-    known = frontier = _written(best(roots))
+    frontier = written(best(roots), "closure")
+    rounds, known, n = [frontier], frontier, frontier.count()
     for k in range(max_rounds):
-        reached = best(frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id"), edges["need"].alias("need")))
-        old = best(known).select(F.col("id").alias("_id"), F.col("need").alias("_need"))
-        frontier = _written(reached.join(old, F.col("id") == F.col("_id"), "left").where(F.col("_id").isNull() | (F.col("need") > F.col("_need"))).select("id", "need"))
-        if frontier.isEmpty():
-            return best(known)
+        small = (lambda df: F.broadcast(df)) if n <= SMALL else (lambda df: df)
+        reached = written(best(small(frontier.select(F.col("id").alias("_from"))).join(edges, F.col("_from") == F.col("src")).select(F.col("dst").alias("id"), "need")), "closure")
+        n = reached.count()
+        small = (lambda df: F.broadcast(df)) if n <= SMALL else (lambda df: df)
+        old = best(known.join(small(reached.select(F.col("id").alias("_id"))), F.col("id") == F.col("_id"), "left_semi")).select(F.col("id").alias("_id"), F.col("need").alias("_need"))
+        frontier = written(reached.join(old, F.col("id") == F.col("_id"), "left").where(F.col("_id").isNull() | (F.col("need") > F.col("_need"))).select("id", "need"), "closure")
+        drop(reached)
+        n = frontier.count()
+        if not n:
+            out = written(best(known), "closure") if len(rounds) > 1 else known
+            drop(*([frontier, *rounds] if len(rounds) > 1 else [frontier]))
+            return out
+        rounds.append(frontier)
         known = known.unionByName(frontier)
         if k % 8 == 7:  # a long closure is not a long union
-            known = _written(best(known))
+            known = written(best(known), "closure")
+            drop(*rounds)
+            rounds = [known]
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
@@ -53,32 +49,21 @@ def missing(ids: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return ids.join(known.select(F.col(key)), key, "left_anti")
 
 
-def cycle_members(edges: DataFrame, max_length: int) -> DataFrame:
-    """(id, length): ids that lie on a simple cycle of at most ``max_length`` edges, with the shortest length."""
-    paths = edges.select(F.col("src").alias("start"), F.array("src").alias("seen"), F.col("dst").alias("at"), F.lit(1).alias("length")).distinct()
-    found = paths.where("start = at").select(F.col("start").alias("id"), "length")
-    for k in range(2, max_length + 1):
-        paths = paths.where("start <> at").join(edges, F.col("at") == F.col("src")).where((F.col("dst") == F.col("start")) | ~F.array_contains("seen", F.col("dst")))
-        paths = paths.select("start", F.array_append("seen", F.col("at")).alias("seen"), F.col("dst").alias("at"), F.lit(k).alias("length")).distinct()
-        found = found.unionByName(paths.where("start = at").select(F.col("start").alias("id"), "length"))
-    return found.groupBy("id").agg(F.min("length").cast("long").alias("length"))
-
-
 def on_cycle(edges: DataFrame) -> DataFrame:
     """(id): ids that lie on a cycle of ``edges`` (src, dst), whatever its length.
 
     Edges from an id that none leads to, and to one that none leaves, are peeled off round by round; what is
     left is closed by doubling paths.
     """
-    left = _written(edges.select("src", "dst").distinct())
+    left = written(edges.select("src", "dst").distinct())
     n, was = left.count(), None
     while n != was:
         into, out_of = left.select(F.col("dst").alias("_in")).distinct(), left.select(F.col("src").alias("_out")).distinct()
-        left = _written(left.join(into, F.col("src") == F.col("_in"), "left_semi").join(out_of, F.col("dst") == F.col("_out"), "left_semi"))
+        left = written(left.join(into, F.col("src") == F.col("_in"), "left_semi").join(out_of, F.col("dst") == F.col("_out"), "left_semi"))
         n, was = left.count(), n
     was = None
     while n != was:
         on = left.select(F.col("src").alias("_via"), F.col("dst").alias("_to"))
-        left = _written(left.unionByName(left.join(on, F.col("dst") == F.col("_via")).select("src", F.col("_to").alias("dst"))).distinct())
+        left = written(left.unionByName(left.join(on, F.col("dst") == F.col("_via")).select("src", F.col("_to").alias("dst"))).distinct())
         n, was = left.count(), n
     return left.where("src = dst").select(F.col("src").alias("id"))

@@ -23,6 +23,7 @@ from lodestrand.csource.parsing import Parser
 from lodestrand.csource.preprocess import COMPLETE, PARTIAL, REJECTED
 
 from . import closure, sets
+from .storage import written
 
 DECLARATIONS = "id string, namespace string, scope string, name string, kind string, linkage string, visibility string, link_name string, convention string, complete boolean, support int, code string, type string, children string"
 OCCURRENCES = "id string, occ_id string, file string, start long, end long, ordinal long, storage string, definition boolean"
@@ -90,7 +91,7 @@ class Package:
                 for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist()):
                     yield from pa.Table.from_pylist(unit_rows(text or "", file, flavor), schema=schema).to_batches()
 
-        rows = closure._written(texts.select("file", "text").mapInArrow(run, _ROWS))
+        rows = written(texts.select("file", "text").mapInArrow(run, _ROWS))
         table = lambda what: rows.where(F.col("what") == what).select(f"{what}.*")
         return Package(table("declaration").distinct(), table("occurrence").distinct(), table("edge").distinct(), table("diagnostic").distinct())
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.csource.preprocess import Config, Unit, candidates
 
-from .closure import _written
+from .storage import written
 
 UNITS = "unit_id long, entries array<string>, roots array<string>, defines array<struct<name:string,value:string>>, policy string"
 SCANNED = (
@@ -45,9 +45,9 @@ def include_lines(files: DataFrame) -> DataFrame:
 
 def reachable(units: DataFrame, files: DataFrame) -> DataFrame:
     """(unit_id, path): the files that a unit may read; includes in inactive branches count."""
-    lines = _written(include_lines(files).distinct())
+    lines = written(include_lines(files).distinct())
     paths = files.select("path")
-    known = _written(units.select("unit_id", F.explode("entries").alias("path")).distinct().join(paths, "path", "left_semi").select("unit_id", "path"))
+    known = written(units.select("unit_id", F.explode("entries").alias("path")).distinct().join(paths, "path", "left_semi").select("unit_id", "path"))
     frontier = known
     while True:
         asked = frontier.join(lines, "path").join(units.select("unit_id", "roots"), "unit_id")
@@ -58,10 +58,10 @@ def reachable(units: DataFrame, files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["unit_id", "path"])
 
         found = asked.mapInArrow(tried, "unit_id long, path string").distinct().join(paths, "path", "left_semi").select("unit_id", "path")
-        frontier = _written(found.join(known, ["unit_id", "path"], "left_anti"))
+        frontier = written(found.join(known, ["unit_id", "path"], "left_anti"))
         if frontier.isEmpty():
             return known
-        known = _written(known.unionByName(frontier))
+        known = written(known.unionByName(frontier))
 
 
 def _unit_rows(table: pa.Table) -> pa.Table:
