@@ -12,12 +12,14 @@ as a whole; its first tokens are its seed.
 
 The seeds of the benchmark are counted first. Up to ``BROADCAST_SEEDS`` of them, two bit tables drop nearly
 all windows within the row, the first by the window's end tokens alone, which every mask and run keeps, the second
-by the seed; the join is a broadcast, and no text and no window is shuffled. Beyond that the seeds of all windows go through a
-shuffled join, 16 bytes and the document's key each, which skew splitting serves, and only texts with a hit are fetched.
+by the seed, and the join is a broadcast. Beyond that the seeds of all windows go through a
+shuffled join, 16 bytes and the document's key each, which skew splitting serves. Either way hits are counted by document, item and
+diagonal before anything is fetched; the tokens of documents with a hit are then read once, and each diagonal is verified
+once, around its hits or over the whole item, so the work of a long item grows with its length.
 
 Nulls and edges: tokens are runs of letters and digits, lowered; a null or empty text has none and leaks
 nothing; an item without tokens never leaks; a null item_id is an item like
-any other; rows that share a doc_id are one document; repeated items are one; empty tables leak nothing.
+any other; rows that share a doc_id are one document; repeated items are one; items and texts may be of any length; empty tables leak nothing.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_rules import bound
-from .shared import cut
+from .shared import cut, free
 
 #: Fixed masks: places of a window whose tokens count.
 MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 6, 8), (0, 1, 2, 5, 6, 8))
@@ -126,7 +128,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     of_item = F.concat(_seeds(item, _windows(item)), *[_run_seeds(item, runs[n], n) for n in lengths])
     seeds = cut(items.select("item_key", F.explode(of_item).alias("s")).select(F.col("s.h").alias("h"), "item_key", F.col("s.at").alias("item_at")).distinct(), "seeds")
     size = seeds.agg(F.count("*").alias("n")).first()["n"]
-    longest = items.agg(F.max(F.size("item")).alias("n")).first()["n"] or 0
     small = size <= BROADCAST_SEEDS
     if small:
         ends_of = lambda ws, n: F.transform(ws, lambda i: _ends(item, i, n))
@@ -136,37 +137,46 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     def seeds_of(ts: Column) -> Column:
         return F.concat(seeded(ts, SPAN, _seeds), *[seeded(ts, n, partial(_run_seeds, length=n)) for n in lengths])
 
-    def hits(ts: Column) -> Column:
-        return around_each(ts, seeds_of(ts))
-
     def seeded(ts: Column, span: int, of: Callable[[Column, Column], Column]) -> Column:
         if small:  # by two tokens first; few windows are hashed
             return bound(F.filter(_windows(ts, span), lambda i: in_table(by_ends, _ends(ts, i, span))), lambda ws: F.filter(of(ts, ws), lambda s: in_table(by_seed, s["h"])))
         return of(ts, _windows(ts, span))
 
-    def around_each(ts: Column, found: Column) -> Column:
-        # what lies around a hit goes with it, as far as the longest item reaches
-        around = lambda s: F.greatest(s["at"] - longest, F.lit(0))
-        return F.transform(found, lambda s: F.struct(s["h"].alias("h"), (s["at"] - around(s)).alias("at"), F.slice(ts, around(s) + 1, F.lit(2 * longest + SPAN)).alias("near")))
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    if small:
-        rows = rows.select("doc_id", bound(tokens(F.col("text")), hits).alias("hits"))
-        # the outer form keeps the optimizer from evaluating the hits again as a filter on their number
-        rows = rows.select("doc_id", F.explode_outer("hits").alias("hit")).select("doc_id", F.col("hit.h").alias("hit_h"), F.col("hit.at").alias("at"), F.col("hit.near").alias("near"))
-        pairs = rows.join(F.broadcast(seeds), F.col("hit_h") == F.col("h")).join(F.broadcast(items), "item_key")
-    else:
-        # places and seeds alone are shuffled; then the texts that a hit names, once for each diagonal
-        keyed = rows.where("text IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
-        found = keyed.select("doc_id", "text_key", F.explode(bound(tokens(F.col("text")), seeds_of)).alias("hit")).select("doc_id", "text_key", F.col("hit.h").alias("hit_h"), F.col("hit.at").alias("at"))
-        found = found.join(seeds, F.col("hit_h") == F.col("h")).select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"), "item_key", (F.col("at") - F.col("item_at")).alias("at")).distinct()
-        whole_texts = keyed.dropDuplicates(["doc_id", "text_key"])
-        near = whole_texts.join(found, (F.col("text_key") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_doc")))
-        pairs = near.join(items, "item_key").select("doc_id", "item_id", "item", "at", F.lit(0).alias("item_at"), tokens(F.col("text")).alias("near"))
-    first, length = F.col("at") - F.col("item_at"), F.size("item")
-    pairs = pairs.select("doc_id", "item_id", _stretch(F.col("near"), first, F.col("item")).alias("n"), _in_place(F.col("near"), first, F.col("item")).alias("m"), _needed(length).alias("needed"))
-    pairs = pairs.select("doc_id", "item_id", F.greatest("n", F.when(F.col("m") >= F.col("needed"), F.col("m"))).alias("n"), "needed").where(F.col("n") >= F.least(F.lit(MIN_MATCHES), "needed"))
-    return pairs.groupBy("doc_id", "item_id").agg(F.max("n").cast("long").alias("n_matches"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
+    # the outer form keeps the optimizer from evaluating the hits again as a filter on their number
+    hits = rows.select("doc_id", "text_key", F.explode_outer(bound(tokens(F.col("text")), seeds_of)).alias("hit")).select("doc_id", "text_key", F.col("hit.h").alias("hit_h"), F.col("hit.at").alias("at"))
+    met = hits.join(F.broadcast(seeds) if small else seeds, F.col("hit_h") == F.col("h"))
+    diagonals = met.groupBy("doc_id", "text_key", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.count("*").alias("n_hits"), F.min("item_at").alias("lo"), F.max("item_at").alias("hi"))
+    diagonals = cut(diagonals, "diagonals")
+    named = cut(diagonals.select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text")).distinct(), "hit-texts")
+    is_named = (F.col("text_key") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))
+    few = named.count() <= BROADCAST_SEEDS
+    held = cut(rows.join(F.broadcast(named) if few else named, is_named, "left_semi").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", tokens(F.col("text")).alias("ts")), "hit-tokens")
+    found = diagonals.withColumnsRenamed({"doc_id": "of_doc", "text_key": "of_text"}).join(held, is_named).join(F.broadcast(items) if small else items, "item_key")
+    verified = cut(_verified(found).groupBy("doc_id", "item_id").agg(F.max("n").cast("long").alias("n_matches")), "leaks")
+    free(diagonals, named, held)
+    return verified
+
+
+def _verified(found: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n) of diagonals that leak, each looked at once.
+
+    A diagonal with so few hits that four fifths of the item can't lie in place is only read around them: a stretch of M
+    matches keeps M / 4 - 2 runs at least, so with n hits it is no longer than 5 * n + 12 tokens.
+    """
+    length, reach = F.size("item"), F.col("n_hits").cast("int") * 5 + 12
+    whole = (length <= 64) | (F.col("n_hits") * 5 + 15 >= length)
+    lo = F.when(whole, F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("lo") - reach))
+    hi = F.when(whole, length).otherwise(F.least(length, F.col("hi") + SPAN + reach))
+    found = found.select("doc_id", "item_id", "ts", "item", "diagonal", _needed(length).alias("needed"), lo.alias("lo"), hi.alias("hi"))
+    begin = F.greatest(F.lit(0), F.col("diagonal") + F.col("lo"))
+    end = F.greatest(begin, F.least(F.size("ts"), F.col("diagonal") + F.col("hi")))
+    first = F.col("diagonal") + F.col("lo") - begin
+    # the slices are bound, or each step of a walk would cut them anew
+    walk = lambda near, item: F.struct(_stretch(near, first, item).alias("n"), _in_place(near, first, item).alias("m"))
+    seen = bound(F.slice("ts", begin + 1, end - begin), lambda near: bound(F.slice("item", F.col("lo") + 1, F.col("hi") - F.col("lo")), lambda item: walk(near, item)))
+    pairs = found.select("doc_id", "item_id", "needed", seen.alias("w")).select("doc_id", "item_id", "needed", "w.n", "w.m")
+    return pairs.select("doc_id", "item_id", F.greatest("n", F.when(F.col("m") >= F.col("needed"), F.col("m"))).alias("n"), "needed").where(F.col("n") >= F.least(F.lit(MIN_MATCHES), "needed"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -39,3 +40,21 @@ def test_masks_and_runs_miss_no_placement(length):
     for n in range(length // 5 + 1):
         for at in itertools.combinations(range(length), n):
             assert any(k.isdisjoint(at) for k in kept)
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_long_item(spark, monkeypatch, bound):
+    """An item of 20,000 tokens: whole, with every fifth token changed, a stretch of it alone, and tokens here and there."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", bound)
+    r = random.Random(3)
+    item = [f"w{r.randrange(10**6)}" for _ in range(20_000)]
+    changed = [f"x{k}" if k % 5 == 4 else w for k, w in enumerate(item)]
+    lost = [f"x{k}" if k % 4 == 3 else w for k, w in enumerate(item)]  # no run of four is left
+    other = [f"y{k}" for k in range(30_000)]
+    docs = [(1, other[:500] + item), (2, changed + other), (3, lost), (4, other[:9000] + item[7000:7013] + other[9000:]), (5, other[:9000] + item[7000:7012] + other[9000:]), (6, other), (7, " ".join(item[:6000] + other[:1000]).split())]
+    frame = spark.createDataFrame([(d, " ".join(ws)) for d, ws in docs], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "some other item that is nine tokens long here")], "item_id long, text string")
+    began = time.perf_counter()
+    got = {(x.doc_id, x.item_id): x.n_matches for x in decontaminate.leaks(frame, items).collect()}
+    assert got == {(1, 1): 20_000, (2, 1): 16_000, (4, 1): 13, (7, 1): 6000}
+    assert time.perf_counter() - began < 90
