@@ -4,7 +4,8 @@ Tokens are runs of ``[A-Za-z0-9+/_.-]``. The field labels every one as begin, in
 from its shape, the words and marks around it, the shapes of its neighbours and features of the whole text; Viterbi finds the best
 labels. It is trained here, on sentences made from a fixed seed: secrets of many forms in many contexts, some of
 several tokens, some of letters alone, and what is often mistaken for one (numbers, dates, addresses, versions,
-links, long words, sentences about passwords).
+links, long words, sentences about passwords). A span counts only if its path beats the one without it by a bar that no span that on
+``PROSE`` other texts without secrets one span in ``WORDS_A_SPAN`` words exceeds.
 
 A feature is a hash of small numbers that are counted for all tokens of a batch at once, so no token is left out
 beforehand. Of a text none of whose tokens can gain anything by a label other than outside, whatever the
@@ -37,6 +38,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 FEATURES = 1 << 15
+#: Texts of prose, some 130 words each, on which the bar is set, and its part of the greatest false margin there.
+PROSE, BAR = 1500, 0.6
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Stands for a step that can't be, and for what ends a text in a batch.
 NEVER, END = -1e9, "\0"
@@ -147,6 +150,7 @@ class Field:
     """Weights of begin and inside by feature (outside is zero), and of each step between labels."""
 
     def __init__(self):
+        self.bar = 0.0
         self.weight = np.zeros((2, FEATURES))
         self.step = np.zeros((3, 3))
         self.step[OUT, INSIDE] = NEVER
@@ -188,14 +192,40 @@ class Field:
         return labels
 
 
+def margins(labels: np.ndarray, scores: np.ndarray, field: Field) -> list[tuple[int, int, float]]:
+    """(first, end, margin) of each span of a path: by how much the path beats the same one with that span outside."""
+    begins, out = np.flatnonzero(labels == BEGIN).tolist(), []
+    for a in begins:
+        e = a + 1
+        while e < len(labels) and labels[e] == INSIDE:
+            e += 1
+        path = [int(labels[a - 1]) if a else OUT, *labels[a:e].tolist(), int(labels[e]) if e < len(labels) else OUT]
+        gain = sum(scores[a + k, x - 1] for k, x in enumerate(path[1:-1])) + sum(field.step[x, y] for x, y in zip(path, path[1:]))
+        none = [path[0], *[OUT] * (e - a), path[-1]]
+        out.append((a, e, float(gain - sum(field.step[x, y] for x, y in zip(none, none[1:])))))
+    return out
+
+
+def _above_bar(labels: np.ndarray, scores: np.ndarray, field: Field) -> np.ndarray:
+    """The labels without spans that don't beat outside by the field's bar."""
+    if field.bar > 0 and labels.any():
+        labels = labels.copy()
+        for a, e, margin in margins(labels, scores, field):
+            if margin <= field.bar:
+                labels[a:e] = OUT
+    return labels
+
+
 def field_spans(rows: list[str], field: Field) -> list[list[tuple[int, int]]]:
     """The secrets that the field finds in each text: a begin with the insides that follow, and the ``=`` that pad it."""
     tokens, out = Tokens(rows), [[] for _ in rows]
     scores = field.scores(tokens)
     able = np.unique(tokens.row[field.most_gained(scores) > 0])
     first, last = np.searchsorted(tokens.row, able, "left"), np.searchsorted(tokens.row, able, "right")
-    for r, a, labels in zip(able.tolist(), first.tolist(), field.decode([scores[a:b] for a, b in zip(first, last)])):
+    chains = [scores[a:b] for a, b in zip(first, last)]
+    for r, a, chain, labels in zip(able.tolist(), first.tolist(), chains, field.decode(chains)):
         base = int(tokens.base[r])
+        labels = _above_bar(labels, chain, field)
         for t in np.flatnonzero(labels).tolist():
             s, e = int(tokens.start[a + t]) - base, int(tokens.end[a + t]) - base
             while rows[r][e : e + 1] == "=":
@@ -210,6 +240,7 @@ def field_spans(rows: list[str], field: Field) -> list[list[tuple[int, int]]]:
 # Made-up sentences to learn from.
 NAMES = ("auth", "pwd", "pass", "key", "client_secret", "private_key", "access_key", "credentials", "bearer", "token", "secret", "password", "api key", "api_key", "signature", "db_pass", "passphrase", "login", "pin", "recovery code", "app password", "secret key")
 PLAIN = ("is", "the", "a", "was", "for", "required", "expired", "invalid", "reset", "must", "be", "changed", "and", "of", "here", "forgot", "your", "not", "found", "please", "enter", "to", "new", "strong", "missing", "manager", "policy", "field", "rotated", "yesterday", "by", "admin", "never", "share", "it", "with", "anyone", "in", "on", "success", "ingredient", "success", "holder", "ring", "unknown", "empty", "set", "user", "server", "should", "only", "very", "long", "without", "every", "month")
+OFTEN = ("the", "is", "to", "for", "of", "and", "a", "in", "that", "on", "as", "it", "be", "was", "by", "from", "at", "with")
 COMMON = ("river", "maple", "stone", "orange", "tiger", "window", "copper", "silent", "garden", "rocket", "planet", "velvet", "harbor", "falcon", "summer", "winter", "marble", "candle", "forest", "thunder", "hunter", "dragon", "monkey", "sunshine", "keyboard", "qwerty", "coffee", "purple", "castle", "bridge")
 
 
@@ -264,6 +295,19 @@ class Maker:
             lambda: f"{self.word()}{self.r.choice([':', ' is', ' for', ' to', ' use'])} {self.word()} {self.word()} {self.word()}", lambda: f"{name()} {self.r.choice(['for', 'of', 'and', 'to'])} {self.word()} {self.word()}",
         ])()
 
+    def prose(self) -> str:
+        """A text without a secret, as long as documents are: sentences of made-up words, plain words among them, runs of one word, and what is mistaken for a secret."""
+        out = []
+        for _ in range(self.r.randint(3, 25)):
+            ws = [self.r.choice(OFTEN if self.r.random() < 0.8 else PLAIN) if self.r.random() < 0.45 else self.word() for _ in range(self.r.randint(1, 16))]
+            if self.r.random() < 0.04:
+                ws = [self.r.choice((self.word(), self.r.choice(PLAIN).capitalize()))] * self.r.randint(3, 60)
+            if self.r.random() < 0.04:
+                ws.append(self.decoy())
+            mark = self.r.choice(["", "", "", "", "", "!!", "###", " |", "$$$"])
+            out.append((" ".join(w + (mark or ("," if self.r.random() < 0.1 else "")) for w in ws)).capitalize() + self.r.choice([".", ".", ".\n"]))
+        return " ".join(out)
+
     FORMS = ('{k} = "{v}"', "{k}={v}", "{k}: {v}", "'{k}': '{v}'", "{k} is {v}", "{k} for {w}: {v}", "{k} for {w} is {v}", "export {K}={v}", "--{k} {v}", "use {v} as the {k}", "set {k} to {v}", "Authorization: Bearer {v}", "{k} -> {v}", "my {k} is {v}")
 
     def secret(self) -> tuple[str, str, str]:
@@ -357,7 +401,20 @@ def trained(made: list[tuple[str, list[tuple[int, int]]]], rounds: int, rate: fl
 def trained_field(n: int = 2000, rounds: int = 60, seed: int = 17) -> Field:
     """A field trained on ``n`` made-up texts; the same for the same arguments."""
     maker = Maker(seed)
-    return trained([maker.text() for _ in range(n)], rounds)
+    # prose alone, as most documents are, keeps the field from what follows plain words
+    field = trained([maker.text() for _ in range(n)] + [(maker.prose(), []) for _ in range(n // 4)], rounds)
+    field.bar = bar_on([maker.prose() for _ in range(PROSE)], field)
+    return field
+
+
+def bar_on(texts_without: list[str], field: Field) -> float:
+    """``BAR`` times the greatest margin of a span in texts without secrets."""
+    tokens = Tokens(texts_without)
+    scores = field.scores(tokens)
+    edges = np.searchsorted(tokens.row, np.arange(len(texts_without) + 1))
+    chains = [scores[a:b] for a, b in zip(edges, edges[1:])]
+    found = [m for c, labels in zip(chains, field.decode(chains)) for _, _, m in margins(labels, c, field)]
+    return BAR * max(found, default=0.0)
 
 
 #: Texts whose tokens are scored at once, by code points; one text over it is scored alone.
