@@ -52,18 +52,105 @@ def missing(ids: DataFrame, known: DataFrame, key: str) -> DataFrame:
 def on_cycle(edges: DataFrame) -> DataFrame:
     """(id): ids that lie on a cycle of ``edges`` (src, dst), whatever its length.
 
-    Edges from an id that none leads to, and to one that none leaves, are peeled off round by round; what is
-    left is closed by doubling paths.
+    An id that one edge leaves only follows it, so chains of such ids are jumped over by doubling: after k rounds a
+    pointer spans 2 ** k edges. Ids that jump for ever come to rest on cycles of such ids alone; the others end at one that no edge leaves, and
+    are on no cycle, or at a fork. What is left is the graph of forks, smaller each time, until
+    every id in it forks or none is left; such a core is closed by doubling paths. Then the chains between forks of one cycle are marked, again by
+    doubling. A chain of n ids takes about log2(n) rounds, and the tables of all rounds are deleted.
     """
-    left = written(edges.select("src", "dst").distinct())
-    n, was = left.count(), None
-    while n != was:
-        into, out_of = left.select(F.col("dst").alias("_in")).distinct(), left.select(F.col("src").alias("_out")).distinct()
-        left = written(left.join(into, F.col("src") == F.col("_in"), "left_semi").join(out_of, F.col("dst") == F.col("_out"), "left_semi"))
-        n, was = left.count(), n
-    was = None
-    while n != was:
-        on = left.select(F.col("src").alias("_via"), F.col("dst").alias("_to"))
-        left = written(left.unionByName(left.join(on, F.col("dst") == F.col("_via")).select("src", F.col("_to").alias("dst"))).distinct())
-        n, was = left.count(), n
-    return left.where("src = dst").select(F.col("src").alias("id"))
+    left = written(edges.select("src", "dst").distinct(), "cycle")
+    out = _cycles(left)
+    found = written(out.distinct(), "cycle")
+    drop(left)
+    return found
+
+
+def _cycles(edges: DataFrame) -> DataFrame:
+    """(id) on cycles of the written, distinct ``edges``."""
+    degree = edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to"))
+    single = written(degree.where("n = 1").select("src", "to"), "cycle")
+    n = single.count()
+    if not n:
+        return _core(edges)
+    jumps, step, k = [single], single, 0
+    while 1 << k < n:
+        far = step.select(F.col("src").alias("_via"), F.col("to").alias("_to"))
+        step = written(step.join(far, F.col("to") == F.col("_via"), "left").select("src", F.coalesce("_to", "to").alias("to")), "cycle")
+        jumps.append(step)
+        k += 1
+    chained = single.select(F.col("src").alias("_id"))
+    # who still points into a chain after n steps points to a cycle of chained ids
+    resting = step.join(chained, F.col("to") == F.col("_id"), "left_semi").select(F.col("to").alias("id")).distinct()
+    ends = written(step.join(chained, F.col("to") == F.col("_id"), "left_anti"), "cycle")
+    forks = written(degree.where("n > 1").select(F.col("src").alias("_fork")), "cycle")
+    of = ends.select(F.col("src").alias("_chain"), F.col("to").alias("_end"))
+    from_forks = edges.join(forks, F.col("src") == F.col("_fork"), "left_semi").join(of, F.col("dst") == F.col("_chain"), "left")
+    # by way of ``dst``, where a chain begins or a fork stands
+    ways = written(from_forks.select("src", "dst", F.coalesce("_end", "dst").alias("to")).join(forks, F.col("to") == F.col("_fork"), "left_semi"), "cycle")
+    smaller = written(ways.select("src", F.col("to").alias("dst")).distinct(), "cycle")
+    if smaller.isEmpty():
+        found = written(resting, "cycle")
+        drop(*jumps, ends, forks, ways, smaller)
+        return found
+    # an edge of the smaller graph is on a cycle if its source can be reached from its end
+    closed = written(_on_cycle_edges(smaller), "cycle")
+    real = ways.join(closed.select(F.col("src").alias("_s"), F.col("dst").alias("_d")), (F.col("src") == F.col("_s")) & (F.col("to") == F.col("_d")), "left_semi")
+    marked = written(real.select(F.col("dst").alias("id")).distinct(), "cycle")
+    for jump in jumps:
+        on = jump.select(F.col("src").alias("_src"), "to")
+        # a pointer that ends at a fork stops there
+        more = marked.join(on, F.col("id") == F.col("_src")).select(F.col("to").alias("id"))
+        marked = written(marked.unionByName(more).distinct(), "cycle")
+    found = written(resting.unionByName(marked).unionByName(closed.select(F.col("src").alias("id"))).unionByName(closed.select(F.col("dst").alias("id"))).distinct(), "cycle")
+    drop(*jumps, ends, forks, ways, smaller)
+    return found
+
+
+def _on_cycle_edges(edges: DataFrame) -> DataFrame:
+    """Edges whose ends lie on one cycle, by strong components of the smaller graph."""
+    labelled = _components(edges)
+    one, other = (labelled.select(F.col("id").alias(f"_{k}"), F.col("component").alias(f"_c{k}")) for k in "xy")
+    return edges.join(one, F.col("src") == F.col("_x")).join(other, F.col("dst") == F.col("_y")).where("_cx = _cy").select("src", "dst")
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(id, component): strong components of written ``edges``, by colours.
+
+    The least id that reaches an id is its colour; a colour's component is what leads back to its id within the colour. Components are
+    taken out and the rest is coloured anew; rounds follow the graph's width, and rows are edges, never pairs of ids.
+    """
+    done, left = None, edges
+    while True:
+        ids = left.select(F.col("src").alias("id")).unionByName(left.select(F.col("dst").alias("id"))).distinct()
+        colour = written(ids.select("id", F.col("id").alias("colour")), "cycle")
+        while True:
+            reached = left.join(colour, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "colour")
+            after = written(colour.unionByName(reached).groupBy("id").agg(F.min("colour").alias("colour")), "cycle")
+            changed = after.join(colour.withColumnsRenamed({"id": "_id", "colour": "_was"}), (F.col("id") == F.col("_id")) & (F.col("colour") == F.col("_was")), "left_anti").isEmpty()
+            drop(colour)
+            colour = after
+            if changed:
+                break
+        of = colour.withColumnsRenamed({"id": "_of", "colour": "_colour"})
+        inner = left.join(colour, F.col("src") == F.col("id")).join(of, F.col("dst") == F.col("_of")).where("colour = _colour").select("src", "dst")
+        inner = written(inner, "cycle")
+        back = frontier = written(colour.where("id = colour").select("id", F.col("colour").alias("component")), "cycle")
+        while True:
+            before = inner.join(frontier, F.col("dst") == F.col("id")).select(F.col("src").alias("id"), "component").distinct()
+            frontier = written(before.join(back.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti"), "cycle")
+            if frontier.isEmpty():
+                break
+            back = back.unionByName(frontier)
+        done = back if done is None else done.unionByName(back)
+        taken = back.select(F.col("id").alias("_id"))
+        rest = written(inner.join(taken, F.col("src") == F.col("_id"), "left_anti").join(taken, F.col("dst") == F.col("_id"), "left_anti"), "cycle")
+        # ids that lost all their edges are components of their own, on no cycle
+        if rest.isEmpty():
+            return done
+        left = rest
+
+
+def _core(edges: DataFrame) -> DataFrame:
+    """(id) on cycles of a graph in which no chain is left."""
+    on = _on_cycle_edges(edges)
+    return on.select(F.col("src").alias("id")).unionByName(on.select(F.col("dst").alias("id"))).distinct()
