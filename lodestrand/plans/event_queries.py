@@ -49,16 +49,8 @@ def conditional_depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordered_fold_state(spark: SparkSession, d: str) -> DataFrame:
-    """Depth with unmatched closes ignored, by a fold over each user's rows."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        depth, out = 0, []
-        for r in rows:
-            depth = depth + 1 if r["event_type"] == "signup" else max(0, depth - 1) if r["event_type"] == "error" else depth
-            out.append({"event_id": r["event_id"], "depth": depth})
-        return out
-
-    return ordered.ordered_fold(_events(spark, d).select("user_id", "ts", "event_id", "event_type"), ["user_id"], ORDER, "event_id long, depth long", fold)
+    """Depth with unmatched closes ignored: the running depth less its lowest point, so no fold in Python is needed."""
+    return ordered.nesting_depth(_events(spark, d), ["user_id"], ORDER, F.col("event_type") == "signup", F.col("event_type") == "error", floor=True).select("event_id", "depth")
 
 
 def alias_cycle_detection(spark: SparkSession, d: str) -> DataFrame:

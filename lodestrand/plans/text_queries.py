@@ -17,7 +17,7 @@ _ALL = f"regexp_extract_all(coalesce(text, ''), '{_TOKEN}')"
 def lex_token_counts(spark: SparkSession, d: str) -> DataFrame:
     """Per document: tokens and distinct identifiers."""
     rows = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("ts"))
-    names = F.array_distinct(F.filter("ts", lambda t: t.rlike("^[A-Za-z_]")))
+    names = F.array_distinct(F.filter("ts", T.is_identifier))
     return rows.select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.size(names).cast("long").alias("n_identifiers"))
 
 
@@ -28,8 +28,9 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 def lex_token_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Tokens by table and kind."""
-    sides = [table(spark, d, t).select(F.lit(t).alias("side"), F.explode(T.tokens(F.col(c))).alias("token")) for t, c in (("documents", "text"), ("pages", "html"))]
-    return sides[0].unionByName(sides[1]).groupBy("side", T.token_kind(F.col("token")).alias("kind")).agg(F.count("*").cast("long").alias("n"), F.sum(F.octet_length("token")).cast("long").alias("n_bytes"))
+    sides = [table(spark, d, t).select(F.lit(t).alias("side"), T.tokens(F.col(c)).alias("ts")) for t, c in (("documents", "text"), ("pages", "html"))]
+    totals = sides[0].unionByName(sides[1]).select("side", F.explode(T.kind_totals(F.col("ts"))).alias("x")).select("side", "x.*").where("n > 0")
+    return totals.groupBy("side", "kind").agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"))
 
 
 def normalized_token_fingerprint(spark: SparkSession, d: str) -> DataFrame:

@@ -73,3 +73,22 @@ def test_ids_follow_from_what_they_name(spark):
         ids.macro_id(lit("f"), lit("")).alias("m"), ids.entity_id(lit("tag"), lit("unit"), lit(None).cast("string"), lit("n")).alias("e1"), ids.entity_id(lit("ordinary"), lit("unit"), lit(None).cast("string"), lit("n")).alias("e2"),
     ).first()
     assert row.a == row.b and row.none is None and row.p1 == row.p2 and row.f1 == row.f2 and row.g1 != row.g2 and row.m is None and row.e1 != row.e2
+
+
+def test_fold_over_ordered_rows(spark):
+    """State that no window holds: how often the sum of values since it was last over ten goes over ten."""
+    from lodestrand.operators import ordered
+
+    def fold(rows):
+        total, out = 0, []
+        for x in rows:
+            total += x["v"]
+            if total > 10:
+                out.append({"k": x["k"], "at": x["at"]})
+                total = 0
+        return out
+
+    rows = [(k, at, (at * 7 + k) % 5) for k in (1, 2) for at in range(20)]
+    got = ordered.ordered_fold(spark.createDataFrame(rows, "k long, at long, v long").repartition(3), ["k"], ["at"], "k long, at long", fold)
+    want = [(x["k"], x["at"]) for k in (1, 2) for x in fold([dict(zip(("k", "at", "v"), r)) for r in rows if r[0] == k])]
+    assert sorted((r.k, r["at"]) for r in got.collect()) == want
