@@ -199,3 +199,94 @@ def type_violations(nodes: DataFrame, declarations: DataFrame, most_depth: int =
     )
     rows = held.select("tree", "node", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
     return rows.select(F.concat(F.col("tree").cast("string"), F.lit(":"), F.col("node"), F.lit("."), F.col("x.f")).alias("path"), F.col("x.code").alias("code"))
+
+
+def declaration_rule_violations(declarations: DataFrame) -> DataFrame:
+    """Declarations (position, namespace, scope, name, kind, linkage, link_name, convention, support): namespaces follow kinds, internal linkage needs a file's scope, functions have a link name, unmodelled conventions lower support."""
+    tag = F.col("kind").isin("record", "enum")
+    rules = [
+        (F.col("name").isNotNull() & (tag & (F.col("namespace") != "tag") | F.col("kind").isin("function", "alias", "variable") & (F.col("namespace") != "ordinary")), "namespace", INVALID_ID),
+        ((F.col("linkage") == "internal") & (F.col("name").isNull() | (F.col("scope") != "file")), "scope", INVALID_ID),
+        ((F.col("kind") == "function") & ~F.coalesce(F.length("link_name") > 0, F.lit(False)), "link_name", INVALID_NAME),
+        ((F.col("convention") == "unsupported") & (F.col("support") == 0), "support", INVALID_TYPE),
+    ]
+    return row_violations(declarations, "declarations", rules)
+
+
+def occurrence_violations(occurrences: DataFrame, declarations: DataFrame, table: str = "occurrences", of: str = "declarations") -> DataFrame:
+    """Occurrences (position, of, id, file, start, end, name_start, name_end, tokens, ordinal) of declarations or macros: ids follow and are unique, ranges are not empty and hold the name's, tokens are there, nothing is without one."""
+    made = ids.occurrence_id(F.col("of"), F.col("file"), F.col("tokens"), F.col("ordinal"))
+    name = F.col("name_start").isNotNull()
+    rules = [
+        (~F.col("id").eqNullSafe(made), "id", INVALID_ID),
+        (F.col("start") >= F.col("end"), "range", INVALID_RANGE),
+        (name & ((F.col("name_start") >= F.col("name_end")) | (F.col("name_start") < F.col("start")) | (F.col("name_end") > F.col("end"))), "name_range", INVALID_RANGE),
+        (~F.coalesce(F.length("tokens") > 0, F.lit(False)), "tokens", INVALID_NAME),
+    ]
+    lonely = declarations.join(occurrences.select(F.col("of").alias("_of")).distinct(), F.col("id") == F.col("_of"), "left_anti")
+    return together(
+        row_violations(occurrences, table, rules),
+        broken(order.repeats(occurrences.select("position", "id"), ["id"], "position"), at(table, "position", "id"), DUPLICATE_ID),
+        broken(lonely, at(of, "position", "occurrences"), INVALID_ID),
+    )
+
+
+def macro_violations(macros: DataFrame) -> DataFrame:
+    """Macros (position, id, file, name): ids follow from file and name, names are identifiers."""
+    rules = [(~F.col("id").eqNullSafe(ids.macro_id(F.col("file"), F.col("name"))), "id", INVALID_ID), (~F.coalesce(F.col("name").rlike("^[A-Za-z_$][A-Za-z0-9_$]*$"), F.lit(False)), "name", INVALID_NAME)]
+    return table_violations(macros, "macros").unionByName(row_violations(macros, "macros", rules))
+
+
+def alias_cycle_violations(nodes: DataFrame, declarations: DataFrame) -> DataFrame:
+    """Aliases whose types lead back to them through aliases."""
+    from . import closure
+
+    aliases = declarations.where("kind = 'alias'").select("id")
+    edges = nodes.where("kind = 'alias_ref' AND ref IS NOT NULL").select(F.col("tree").alias("src"), F.col("ref").alias("dst"))
+    edges = edges.join(aliases.withColumnRenamed("id", "_a"), F.col("src") == F.col("_a"), "left_semi")
+    return broken(closure.on_cycle(edges), F.col("id"), "alias_cycle")
+
+
+def all_references(tables: dict[str, DataFrame]) -> DataFrame:
+    """(path, kind, id, start, end, role): every reference of a package's tables to a file or declaration, unpivoted."""
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = []
+
+    def add(name: str, field: str, kind: Column | str, to: str, start: str | None = None, end: str | None = None, role: str | None = None, where: Column | None = None) -> None:
+        df = tables[name] if where is None else tables[name].where(where)
+        spot = F.col("path") if "path" in df.columns else at(name, "position")
+        rows.append(df.select(F.concat(spot, F.lit(f".{field}")).alias("path"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.col(to).alias("id"), (F.col(start) if start else none("long")).alias("start"), (F.col(end) if end else none("long")).alias("end"), (F.col(role) if role else none("string")).alias("role")))
+
+    add("declarations", "scope", F.when(F.col("scope") == "file", "file").otherwise("declaration"), "owner", where=F.col("scope") != "unit")
+    add("occurrences", "range", "file", "file", "start", "end", "origin")
+    add("occurrences", "of", "declaration", "of")
+    add("children", "range", "file", "file", "start", "end")
+    add("children", "parent", "declaration", "parent")
+    add("macros", "file", "file", "file")
+    add("macro_occurrences", "range", "file", "file", "start", "end")
+    add("diagnostics", "range", "file", "file", "start", "end")
+    add("diagnostics", "declaration", "declaration", "declaration")
+    return together(*rows)
+
+
+def package_violations(tables: dict[str, DataFrame], state: str, limits: dict[str, int] | None = None) -> DataFrame:
+    """(path, code) of everything that is broken in a package of the tables files, inputs, declarations, occurrences, children, types, macros, macro_occurrences, diagnostics and reasons; distinct, in no order.
+
+    Eight passes: limits, files, declarations with ids, scopes, kinds and occurrences, types, macros, inputs, alias cycles and
+    completeness. References and ranges of all tables are one more pass with one join.
+    """
+    t, files, declarations = tables, tables["files"], tables["declarations"]
+    role = lambda df: df.select(F.lit("file").alias("kind"), "id", "byte_len", "role")
+    keys = role(files).unionByName(declarations.select(F.lit("declaration").alias("kind"), "id", F.lit(None).cast("long").alias("byte_len"), F.lit(None).cast("string").alias("role")))
+    ranges = t["occurrences"].select(F.col("of").alias("parent"), "file", "start", "end")
+    return together(
+        limit_violations(tables, limits or {"files": 16_384, "declarations": 1_000_000, "macros": 1_000_000, "diagnostics": 1_000_000}),
+        file_violations(files),
+        table_violations(declarations, "declarations"), declaration_id_violations(declarations), declaration_rule_violations(declarations), occurrence_violations(t["occurrences"], declarations),
+        child_id_violations(t["children"]), containment_violations(t["children"], ranges),
+        reference_violations(all_references(t), keys),
+        type_violations(t["types"], declarations), alias_cycle_violations(t["types"], declarations),
+        macro_violations(t["macros"]), occurrence_violations(t["macro_occurrences"], t["macros"], "macro_occurrences", "macros"),
+        input_violations(t["inputs"], files),
+        completeness_violations(state, t["reasons"], t["diagnostics"]),
+    ).distinct()
