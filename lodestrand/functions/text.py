@@ -14,10 +14,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0)
 
 
-def token_kind(token: Column) -> Column:
-    return F.when(token.rlike("^[A-Za-z_]"), "identifier").when(token.rlike("^[0-9]"), "number").when(token.rlike(r"^[ \t\n\x0B\f\r]"), "space").otherwise("punctuation")
-
-
 def _between(token: Column, a: str, b: str) -> Column:
     return (F.ascii(token) >= ord(a)) & (F.ascii(token) <= ord(b))
 
@@ -35,15 +31,8 @@ def is_space(token: Column) -> Column:
     return (F.ascii(token) == ord(" ")) | _between(token, "\t", "\r")
 
 
-def kind_totals(ts: Column) -> Column:
-    """Array of (kind, n, n_bytes) of a text's tokens; no row is made for a token."""
-    kinds = {"identifier": is_identifier, "number": is_number, "space": is_space, "punctuation": lambda t: ~(is_identifier(t) | is_number(t) | is_space(t))}
-
-    def total(name: str) -> Column:
-        of = F.filter(ts, kinds[name])
-        return F.struct(F.lit(name).alias("kind"), F.size(of).cast("long").alias("n"), F.octet_length(F.array_join(of, "")).cast("long").alias("n_bytes"))
-
-    return F.array(*map(total, kinds))
+def token_kind(token: Column) -> Column:
+    return F.when(is_identifier(token), "identifier").when(is_number(token), "number").when(is_space(token), "space").otherwise("punctuation")
 
 
 def significant(ts: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop, written
+from .storage import drop, rows, written
 
 
 #: Ids of a round up to which they are broadcast, by their written count.
@@ -20,27 +20,30 @@ def closure(roots: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> Dat
     known; both without a shuffle of the larger side while a round is small. What is known is added up once, at the end.
     """
     best = lambda df: df.groupBy("id").agg(F.max("need").alias("need"))
+    few = lambda df, n: F.broadcast(df) if n <= SMALL else df
     frontier = written(best(roots), "closure")
-    rounds, known, n = [frontier], frontier, frontier.count()
+    parts, known, n_known = [frontier], frontier, rows(frontier)
     for k in range(max_rounds):
-        small = (lambda df: F.broadcast(df)) if n <= SMALL else (lambda df: df)
-        reached = written(best(small(frontier.select(F.col("id").alias("_from"))).join(edges, F.col("_from") == F.col("src")).select(F.col("dst").alias("id"), "need")), "closure")
-        n = reached.count()
-        small = (lambda df: F.broadcast(df)) if n <= SMALL else (lambda df: df)
-        old = best(known.join(small(reached.select(F.col("id").alias("_id"))), F.col("id") == F.col("_id"), "left_semi")).select(F.col("id").alias("_id"), F.col("need").alias("_need"))
+        reached = best(few(frontier.select(F.col("id").alias("_from")), rows(frontier)).join(edges, F.col("_from") == F.col("src")).select(F.col("dst").alias("id"), "need"))
+        if n_known <= SMALL:
+            held, old = None, F.broadcast(best(known))
+        else:
+            held = reached = written(reached, "closure")
+            old = best(known.join(few(reached.select(F.col("id").alias("_id")), rows(reached)), F.col("id") == F.col("_id"), "left_semi"))
+        old = old.select(F.col("id").alias("_id"), F.col("need").alias("_need"))
         frontier = written(reached.join(old, F.col("id") == F.col("_id"), "left").where(F.col("_id").isNull() | (F.col("need") > F.col("_need"))).select("id", "need"), "closure")
-        drop(reached)
-        n = frontier.count()
-        if not n:
-            out = written(best(known), "closure") if len(rounds) > 1 else known
-            drop(*([frontier, *rounds] if len(rounds) > 1 else [frontier]))
+        if held is not None:
+            drop(held)
+        if not rows(frontier):
+            out = written(best(known), "closure") if len(parts) > 1 else known
+            drop(*([frontier, *parts] if len(parts) > 1 else [frontier]))
             return out
-        rounds.append(frontier)
-        known = known.unionByName(frontier)
+        parts.append(frontier)
+        known, n_known = known.unionByName(frontier), n_known + rows(frontier)
         if k % 8 == 7:  # a long closure is not a long union
             known = written(best(known), "closure")
-            drop(*rounds)
-            rounds = [known]
+            drop(*parts)
+            parts, n_known = [known], rows(known)
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
@@ -69,7 +72,7 @@ def _cycles(edges: DataFrame) -> DataFrame:
     """(id) on cycles of the written, distinct ``edges``."""
     degree = edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to"))
     single = written(degree.where("n = 1").select("src", "to"), "cycle")
-    n = single.count()
+    n = rows(single)
     if not n:
         return _core(edges)
     jumps, step, k = [single], single, 0
@@ -88,7 +91,7 @@ def _cycles(edges: DataFrame) -> DataFrame:
     # by way of ``dst``, where a chain begins or a fork stands
     ways = written(from_forks.select("src", "dst", F.coalesce("_end", "dst").alias("to")).join(forks, F.col("to") == F.col("_fork"), "left_semi"), "cycle")
     smaller = written(ways.select("src", F.col("to").alias("dst")).distinct(), "cycle")
-    if smaller.isEmpty():
+    if not rows(smaller):
         found = written(resting, "cycle")
         drop(*jumps, ends, forks, ways, smaller)
         return found
@@ -138,14 +141,14 @@ def _components(edges: DataFrame) -> DataFrame:
         while True:
             before = inner.join(frontier, F.col("dst") == F.col("id")).select(F.col("src").alias("id"), "component").distinct()
             frontier = written(before.join(back.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti"), "cycle")
-            if frontier.isEmpty():
+            if not rows(frontier):
                 break
             back = back.unionByName(frontier)
         done = back if done is None else done.unionByName(back)
         taken = back.select(F.col("id").alias("_id"))
         rest = written(inner.join(taken, F.col("src") == F.col("_id"), "left_anti").join(taken, F.col("dst") == F.col("_id"), "left_anti"), "cycle")
         # ids that lost all their edges are components of their own, on no cycle
-        if rest.isEmpty():
+        if not rows(rest):
             return done
         left = rest
 

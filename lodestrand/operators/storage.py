@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 @lru_cache(1)
@@ -23,12 +24,18 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _local_dir()
     path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    counted = Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
+    out._written_at, out._rows = path, counted.get["n"]
     return out
 
 
+def rows(table: DataFrame) -> int:
+    """How many rows ``written`` wrote, counted on the way; no job."""
+    return table._rows
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made, once all that reads them is written."""
     for df in tables:

@@ -28,9 +28,9 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 def lex_token_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Tokens by table and kind."""
-    sides = [table(spark, d, t).select(F.lit(t).alias("side"), T.tokens(F.col(c)).alias("ts")) for t, c in (("documents", "text"), ("pages", "html"))]
-    totals = sides[0].unionByName(sides[1]).select("side", F.explode(T.kind_totals(F.col("ts"))).alias("x")).select("side", "x.*").where("n > 0")
-    return totals.groupBy("side", "kind").agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+    sides = [table(spark, d, t).select(F.lit(t).alias("side"), F.explode(T.tokens(F.col(c))).alias("token")) for t, c in (("documents", "text"), ("pages", "html"))]
+    held = sides[0].unionByName(sides[1]).select("side", T.token_kind(F.col("token")).alias("kind"), F.octet_length("token").alias("size"))
+    return held.groupBy("side", "kind").agg(F.count("*").cast("long").alias("n"), F.sum("size").cast("long").alias("n_bytes"))
 
 
 def normalized_token_fingerprint(spark: SparkSession, d: str) -> DataFrame:
