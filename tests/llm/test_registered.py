@@ -34,7 +34,7 @@ def sha(x):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_and_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "labels", "conversations"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.sql(registry.oracle_sql()[name])
     _, got = rows_of(spark, name, *want.columns)
