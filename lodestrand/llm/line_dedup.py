@@ -119,12 +119,14 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     ``row_hash`` is ``xxhash64(text)`` and tells apart the texts of rows that share a doc_id.
     """
     rows = texts(docs).withColumn("row_hash", F.xxhash64("text"))
-    lines = rows.mapInArrow(_hashes(min_chars), "h1 long, h2 long, doc_id long, row_hash long, pos int")
+    # written, so that the texts are hashed once and the sample of the range bounds reads hashes alone
+    lines = cut(rows.mapInArrow(_hashes(min_chars), "h1 long, h2 long, doc_id long, row_hash long, pos int"), "line-hashes")
     parts = group_count(rows, 16 << 20, 12, MOST_PARTS)
     streamed = cut(
         lines.repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos").mapInArrow(_stream_firsts, STREAMED),
         "lines",
     )
+    free(lines)
     # one row for each range partition: MOST_PARTS at most
     last = F.broadcast(streamed.where(F.col("status") == LAST).select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("part").alias("before")))
     continued = streamed.where(F.col("status") == IF_CONTINUED).join(last, (F.col("h1") == F.col("l1")) & (F.col("h2") == F.col("l2")) & (F.col("before") < F.col("part")), "left_semi")
