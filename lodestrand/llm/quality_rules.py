@@ -21,7 +21,7 @@ from statistics import median
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, estimated_bytes, texts
+from .shared import cut, estimated_bytes, free, texts
 
 #: The sample's rows; bounds the estimates, not the input.
 SAMPLE_ROWS = 2000
@@ -135,12 +135,18 @@ def _lookup(have: set[str], text: Column, ws: Column) -> Callable[[str], Column]
     return lambda name: F.col(name) if name in have else METRICS[name](text, ws)
 
 
-def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """``rules`` by rejection per cost on at most ``sample_rows`` documents."""
+def with_metrics(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(doc_id, text) rows with the named metrics as columns, their words split once."""
+    split = rows.select("doc_id", "text", words(F.col("text")).alias("ws"))
+    return split.select("doc_id", "text", *[METRICS[n](F.col("text"), F.col("ws")).alias(n) for n in names])
+
+
+def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, given: tuple[str, ...] = ()) -> list[Rule]:
+    """``rules`` by rejection per cost on at most ``sample_rows`` documents; ``given``: metrics that are columns where the cascade runs and cost nothing there."""
     rows = texts(docs)
     fraction = min(1.0, sample_rows * 2000.0 / max(1, estimated_bytes(rows)))
-    sample = cut(rows.sample(fraction, 7).limit(sample_rows), "rules-sample")
-    look = _lookup(set(), F.col("text"), words(F.col("text")))
+    sample = cut(with_metrics(rows.sample(fraction, 7).limit(sample_rows), given), "rules-sample")
+    look = _lookup(set(given), F.col("text"), words(F.col("text")))
 
     def timed(c: Column) -> tuple[float, int, int]:
         scan, took = sample.agg(F.count_if(c).alias("n"), F.count("*").alias("total")), []
@@ -156,6 +162,7 @@ def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     for rule in rules:
         took, rejected, total = timed(rule.fails(look))
         gain[rule.name] = (rejected / total if total else 0.0) / max(took - bare, 1e-3)
+    free(sample)
     return sorted(rules, key=lambda r: -gain[r.name])
 
 
@@ -181,18 +188,17 @@ def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return docs.where(cascade(docs, ordered_rules(docs, rules)).isNull())
 
 
+#: The metrics that the query returns for every document; the rules on them cost a comparison, and the cascade skips the rest.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the base metrics, the base verdict and the cascade's verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rules = ordered_rules(docs)
-    text = F.col("text")
-    base = texts(docs).select("doc_id", "text", words(text).alias("ws")).select(
-        "doc_id", "text", F.size("ws").cast("long").alias("n_words"), F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
-        n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(F.col("ws")).alias("n_repeat_words"),
-    )
-    have = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"}
+    rules = ordered_rules(docs, given=REPORTED)
+    base = with_metrics(texts(docs), REPORTED)
     failed = F.coalesce(F.col("n_words") < 20, F.lit(True)) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), cascade(base, rules, have).isNull().alias("kept"))
+    return base.select("doc_id", *REPORTED, failed.alias("base_failed"), cascade(base, rules, set(REPORTED)).isNull().alias("kept"))
 
 
 QUERIES = {"op7_quality_rules": op7_quality_rules}
