@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrand.functions import ids
@@ -17,6 +18,7 @@ from . import order
 
 INVALID_REFERENCE, INVALID_RANGE, INVALID_FILE, INVALID_ID, INVALID_NAME = "invalid_reference", "invalid_range", "invalid_file", "invalid_id", "invalid_name"
 INVALID_TYPE, INVALID_COMPLETENESS, DUPLICATE_ID, BAD_ORDER, LIMIT = "invalid_type", "invalid_completeness", "duplicate_id", "non_canonical_order", "limit_exceeded"
+INVALID_TARGET = "invalid_target"
 
 
 def at(table: str, position: str, field: str = "") -> Column:
@@ -237,6 +239,32 @@ def macro_violations(macros: DataFrame) -> DataFrame:
     return table_violations(macros, "macros").unionByName(row_violations(macros, "macros", rules))
 
 
+def attribute_violations(attributes: DataFrame) -> DataFrame:
+    """Attributes (path, name, spelling) without either."""
+    return broken(attributes.where("coalesce(name, '') = '' OR coalesce(spelling, '') = ''"), F.col("path"), INVALID_NAME)
+
+
+#: The order of diagnostics, and that of the places that one is related to.
+DIAGNOSED = ("code", "impact", "message", "file", "start", "end", "declaration")
+RELATED = ("file", "start", "end", "message")
+
+
+def diagnostic_violations(diagnostics: DataFrame, target: str | None = None) -> DataFrame:
+    """Diagnostics (position, code, impact, message, file, start, end, declaration, and target where one is asked for): strictly ordered, with a message, of the package's target."""
+    rules = [(~F.coalesce(F.length("message") > 0, F.lit(False)), "message", INVALID_NAME)]
+    if target is not None:
+        rules.append((~F.col("target").eqNullSafe(target), "target", INVALID_TARGET))
+    breaks = order.order_breaks(diagnostics.select("position", *DIAGNOSED), "position", list(DIAGNOSED))
+    return row_violations(diagnostics, "diagnostics", rules).unionByName(broken(breaks, at("diagnostics", "position"), BAD_ORDER))
+
+
+def related_violations(related: DataFrame) -> DataFrame:
+    """Places (of, position, file, start, end, message) that are not strictly above the one before of the same diagnostic (its position); positions are unique within it."""
+    was = F.lag(F.struct(*RELATED)).over(W.partitionBy("of").orderBy("position"))
+    spot = F.concat(F.lit("diagnostics["), F.col("of").cast("string"), F.lit("].related["), F.col("position").cast("string"), F.lit("]"))
+    return broken(related.withColumn("_was", was).where(F.col("_was").isNotNull() & ~(F.col("_was") < F.struct(*RELATED))), spot, BAD_ORDER)
+
+
 def alias_cycle_violations(nodes: DataFrame, declarations: DataFrame) -> DataFrame:
     """Aliases whose types lead back to them through aliases."""
     from . import closure
@@ -247,6 +275,13 @@ def alias_cycle_violations(nodes: DataFrame, declarations: DataFrame) -> DataFra
     return broken(closure.on_cycle(edges), F.col("id"), "alias_cycle")
 
 
+#: Tables of nested rows that a package may have, each with its path: the field, file, start and end of a reference in it.
+NESTED = (
+    ("attributes", "range", "file", "start", "end"), ("related", "range", "file", "start", "end"), ("include_chain", "directive", "file", "start", "end"), ("include_chain", "included", "included", None, None),
+    ("macro_expansions", "invocation", "file", "start", "end"), ("macro_expansions", "definition", "d_file", "d_start", "d_end"),
+)
+
+
 def all_references(tables: dict[str, DataFrame]) -> DataFrame:
     """(path, kind, id, start, end, role): every reference of a package's tables to a file or declaration, unpivoted."""
     none = lambda kind: F.lit(None).cast(kind)
@@ -266,20 +301,27 @@ def all_references(tables: dict[str, DataFrame]) -> DataFrame:
     add("macro_occurrences", "range", "file", "file", "start", "end")
     add("diagnostics", "range", "file", "file", "start", "end")
     add("diagnostics", "declaration", "declaration", "declaration")
+    for name, field, to, start, end in NESTED:
+        if name in tables:
+            add(name, field, "file", to, start, end)
     return together(*rows)
 
 
-def package_violations(tables: dict[str, DataFrame], state: str, limits: dict[str, int] | None = None) -> DataFrame:
+def package_violations(tables: dict[str, DataFrame], state: str, limits: dict[str, int] | None = None, target: str | None = None) -> DataFrame:
     """(path, code) of everything that is broken in a package of the tables files, inputs, declarations, occurrences, children, types, macros, macro_occurrences, diagnostics and reasons; distinct, in no order.
 
-    Eight passes: limits, files, declarations with ids, scopes, kinds and occurrences, types, macros, inputs, alias cycles and
+    Attributes (path, name, spelling and a range), related places (of, position, message, path and a range), include chains and
+    macro expansions (path and ranges, see ``NESTED``) are checked where given. Eight passes: limits, files, declarations with ids, scopes, kinds and occurrences, types, macros, inputs, alias cycles and
     completeness. References and ranges of all tables are one more pass with one join.
     """
     t, files, declarations = tables, tables["files"], tables["declarations"]
     role = lambda df: df.select(F.lit("file").alias("kind"), "id", "byte_len", "role")
     keys = role(files).unionByName(declarations.select(F.lit("declaration").alias("kind"), "id", F.lit(None).cast("long").alias("byte_len"), F.lit(None).cast("string").alias("role")))
     ranges = t["occurrences"].select(F.col("of").alias("parent"), "file", "start", "end")
+    nested = [check(t[name]) for name, check in (("attributes", attribute_violations), ("related", related_violations)) if name in t]
     return together(
+        *nested,
+        diagnostic_violations(t["diagnostics"], target),
         limit_violations(tables, limits or {"files": 16_384, "declarations": 1_000_000, "macros": 1_000_000, "diagnostics": 1_000_000}),
         file_violations(files),
         table_violations(declarations, "declarations"), declaration_id_violations(declarations), declaration_rule_violations(declarations), occurrence_violations(t["occurrences"], declarations),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import event_queries, package_queries, relation_queries, source_queries, text_queries, validation_queries
+from . import contract_queries, event_queries, package_queries, relation_queries, source_queries, text_queries, validation_queries
 
-MODULES = (text_queries, event_queries, relation_queries, source_queries, validation_queries, package_queries)
+MODULES = (text_queries, event_queries, relation_queries, source_queries, validation_queries, package_queries, contract_queries)
 flagship = text_queries.flagship
 
 
