@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.csource import conditions
-from lodestrand.csource.lexing import tokenize
+from lodestrand.csource.lexing import lexemes, tokenize
 from lodestrand.operators import source_scan
 from lodestrand.operators.packages import Package
 from lodestrand.sources.tables import table
@@ -36,10 +36,12 @@ def condition_policies(spark: SparkSession, d: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            values = [[conditions.value_of(tokenize(t), p) for t in batch.column("condition").to_pylist()] for p in (conditions.LENIENT, conditions.CHECKED, conditions.CONSTANT)]
-            yield pa.RecordBatch.from_arrays([batch.column("p_partkey"), *[pa.array(v, pa.int64()) for v in values]], ["p_partkey", "lenient", "checked", "constant"])
+            values = [conditions.values_of(lexemes(t)) for t in batch.column("condition").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("p_partkey"), *[pa.array([v[k] for v in values], pa.int64()) for k in range(3)]], ["p_partkey", "lenient", "checked", "constant"])
 
-    return table(spark, d, "part").select("p_partkey", text.alias("condition")).mapInArrow(run, "p_partkey long, lenient long, checked long, constant long")
+    # many parts fit one split of the file, and a condition costs far more than its key and size
+    part = table(spark, d, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return part.select("p_partkey", text.alias("condition")).mapInArrow(run, "p_partkey long, lenient long, checked long, constant long")
 
 
 def _region_units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrand.csource import conditions
-from lodestrand.csource.lexing import line_starts, text_of, tokenize
+from lodestrand.csource.lexing import lexemes, line_starts, text_of, tokenize
 from lodestrand.csource.macros import arguments, parse_definition, value_and_category
 from lodestrand.csource.preprocess import Config, Limits, Unit, unsafe_spelling
+from lodestrand.plans import source_queries
 
 
 def run(text: str, policy: str = "checked", files: dict[str, str] | None = None, **more) -> Unit:
@@ -52,6 +54,24 @@ def test_three_evaluators(text, lenient, checked, constant):
     assert got == [lenient, checked, constant]
 
 
+def test_policies_share_a_parse(monkeypatch):
+    parsed = []
+    parse = conditions.parse
+    monkeypatch.setattr(conditions, "parse", lambda t, p: parsed.append(p) or parse(t, p))
+    assert conditions.values_of(lexemes("(3 + \\\n4) * 2 - NAME /* é */")) == [14, 14, None] and len(parsed) == 1
+    assert conditions.values_of(lexemes("(1")) == [1, None, None] and len(parsed) == 3
+    assert conditions.values_of(lexemes("2 - 3 - 4 << 1 + 1 < 0 ? 7 : 8")) == [7, None, 7]
+    deep = "(" * 150 + "1" + ")" * 150
+    assert conditions.values_of(lexemes(deep)) == [1, 1, 1]
+
+
+def test_conditions_are_dealt_out(spark, tmp_path):
+    spark.range(40).selectExpr("id AS p_partkey", "CAST(id AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = source_queries.condition_policies(spark, str(tmp_path))
+    assert out.select(F.spark_partition_id()).distinct().count() > 1  # one file of few bytes
+    assert [tuple(r) for r in out.where("p_partkey IN (5, 8, 26)").orderBy("p_partkey").collect()] == [(5, -10, None, None), (8, 19, 19, None), (26, 743, 743, 743)]
+
+
 def test_conditionals_and_inactive_errors():
     unit = run("#if 0\n#error no\n#elif defined(A) || 1\nyes\n#if 0\nx\n#else\ninner\n#endif\n#else\nno\n#endif\n")
     assert words(unit) == "yes inner" and not codes(unit)
