@@ -9,13 +9,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def overlap_join(ranges: DataFrame, segments: DataFrame, by: Sequence[str], width: int) -> DataFrame:
+def overlap_join(ranges: DataFrame, segments: DataFrame, by: Sequence[str], width: int, unmet: bool = False, parts: int | None = None) -> DataFrame:
     """Pairs of a range (r_start, r_end) and a segment (s_start, s_end) of one ``by`` that share a point; ends are exclusive.
 
     Both sides are dealt to bins of ``width``; a pair is kept in the first bin it shares, so the join is an
-    equi-join and gives each pair once.
+    equi-join and gives each pair once. With ``unmet`` a range also stays, with nulls for the segment, for each of its bins
+    without a pair; an empty one stays once; the join then has ``parts`` partitions, if given, which are not joined to larger ones.
     """
     bins = lambda s, e: F.sequence(F.floor(F.col(s) / width), F.floor((F.greatest(F.col(e), F.col(s) + 1) - 1) / width))
+    if unmet:
+        left = ranges.withColumn("_bin", F.explode_outer(F.when(F.col("r_start") < F.col("r_end"), bins("r_start", "r_end"))))
+        more = [c for c in segments.columns if c not in by]
+        right = segments.where("s_start < s_end").select(*[F.col(c).alias(f"_{c}") for c in by], *more, F.explode(bins("s_start", "s_end")).alias("_in"))
+        met = F.expr("_bin = _in AND r_start < s_end AND s_start < r_end") & (F.col("_bin") == F.floor(F.greatest("r_start", "s_start") / width))
+        for c in by:
+            met &= F.col(c) == F.col(f"_{c}")
+        if parts:
+            left, right = left.repartition(parts, *by, "_bin"), right.repartition(parts, *[f"_{c}" for c in by], "_in")
+        return left.join(right, met, "left").drop("_bin", "_in", *[f"_{c}" for c in by])
     left = ranges.where("r_start < r_end").withColumn("_bin", F.explode(bins("r_start", "r_end")))
     right = segments.where("s_start < s_end").withColumn("_bin", F.explode(bins("s_start", "s_end")))
     pairs = left.join(right, [*by, "_bin"]).where("r_start < s_end AND s_start < r_end")

@@ -24,17 +24,27 @@ def range_columns(table: DataFrame, name: str, file: str, key: Sequence[str], co
     return table.select(F.lit(name).alias("table"), F.col(file).alias("file"), spelled.alias("key"), F.explode(F.array(*parts)).alias("r")).select("table", "file", "key", "r.*").where("r_start IS NOT NULL AND r_end IS NOT NULL")
 
 
-def remap_ranges(ranges: DataFrame, segments: DataFrame, width: int = 512) -> tuple[DataFrame, DataFrame]:
-    """(mapped, gaps): ranges of any number of tables and columns, mapped back through segments (file, s_start, s_end, o_file, o_start, o_end) in one overlap join.
+def remapped(ranges: DataFrame, segments: DataFrame, width: int = 512, parts: int | None = None) -> DataFrame:
+    """Ranges of any number of tables and columns, which differ in at least one of theirs, with where they are from (o_file, o_start, o_end) through segments (file, s_start, s_end, o_file, o_start, o_end); nulls for gaps.
 
-    A range maps to the hull of the origins that it overlaps if they are of one file and it lies in segments from end to end; otherwise it is a gap. Ranges and segments are shuffled once each, however many columns there are.
+    A range maps to the hull of the origins that it overlaps if they are of one file and it lies in segments from end to end; otherwise it is a gap.
+    Ranges go through one overlap join and one grouping, however many columns there are and whether they map or not; both have ``parts``
+    partitions, if given, so that those who know how many ranges there are bound what one task sorts.
     """
-    pairs = intervals.overlap_join(ranges, segments, ["file"], width)
+    pairs = intervals.overlap_join(ranges, segments, ["file"], width, unmet=True, parts=parts)
+    if parts:
+        pairs = pairs.repartition(parts, "file", "key")
     inside = F.least("r_end", "s_end") - F.greatest("r_start", "s_start")
-    met = pairs.groupBy("table", "file", "key", "column", "r_start", "r_end").agg(F.min("o_file").alias("o_file"), F.max("o_file").alias("_last"), F.sum(inside).alias("_covered"), F.min("o_start").cast("long").alias("o_start"), F.max("o_end").cast("long").alias("o_end"))
-    mapped = met.where("o_file = _last AND _covered >= r_end - r_start").drop("_last", "_covered")
-    same = ["table", "file", "key", "column", "r_start", "r_end"]
-    return mapped, ranges.select(*same).join(mapped.select(*same), same, "left_anti")
+    origin = {"o_file": F.min("o_file"), "o_start": F.min("o_start").cast("long"), "o_end": F.max("o_end").cast("long")}
+    met = pairs.groupBy("table", "file", "key", "column", "r_start", "r_end").agg(*[c.alias(n) for n, c in origin.items()], F.max("o_file").alias("_last"), F.sum(F.when(F.col("s_start").isNotNull(), inside)).alias("_covered"))
+    whole = F.expr("o_file = _last AND _covered >= r_end - r_start")
+    return met.select("table", "file", "key", "column", "r_start", "r_end", *[F.when(whole, F.col(n)).alias(n) for n in origin])
+
+
+def remap_ranges(ranges: DataFrame, segments: DataFrame, width: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(mapped, gaps): the rows of ``remapped`` that have an origin, and the ranges that have none."""
+    every = remapped(ranges, segments, width)
+    return every.where("o_file IS NOT NULL"), every.where("o_file IS NULL").drop("o_file", "o_start", "o_end")
 
 
 def gap_diagnostics(gaps: DataFrame) -> DataFrame:

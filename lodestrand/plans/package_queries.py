@@ -10,6 +10,10 @@ from lodestrand.operators import envelope, merging, ordered, provenance
 from lodestrand.sources.tables import table
 
 
+#: Turns of conversations in one task of ``package_remap``.
+TURNS = 10_000
+
+
 def merge_field_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Two overlapping parts of orders, of which the second has other prices, customers and priorities for some keys: what differs, by field."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), "o_orderpriority")
@@ -57,18 +61,18 @@ def envelope_headers(spark: SparkSession, d: str) -> DataFrame:
 
 def package_remap(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as generated text made of turns: declarations of 120 code points with their names and attributes, all mapped back at once, and what is lost."""
-    conv = table(spark, d, "conversations").where("text <> ''")
-    turns = ordered.running_total(conv, ["conv_id"], ["turn"], F.length("text"), "e")
-    size = F.length("text")
-    segments = turns.select(F.col("conv_id").cast("string").alias("file"), (F.col("e") - size).cast("long").alias("s_start"), F.col("e").alias("s_end"), F.col("role").alias("o_file"), (F.col("turn") * 10_000).alias("o_start"), (F.col("turn") * 10_000 + size).alias("o_end"))
-    whole = conv.groupBy("conv_id").agg(F.sum(size).cast("long").alias("n"))
-    declarations = whole.select(F.col("conv_id").cast("string").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"), F.lit(120).cast("long"))).alias("s"))
+    conv = table(spark, d, "conversations")
+    # a turn becomes some twenty rows of ranges in bins, so the turns of a task are bounded, not the bytes that it reads
+    parts = conv.count() // TURNS + 1
+    sizes = conv.where("text <> ''").select("conv_id", "turn", "role", F.length("text").cast("long").alias("size")).repartition(parts, "conv_id")
+    turns = ordered.running_total(sizes, ["conv_id"], ["turn"], F.col("size"), "e").select(F.col("conv_id").cast("string").alias("file"), "turn", "role", "size", "e", (F.col("e") - F.col("size")).alias("b"))
+    segments = turns.select("file", F.col("b").alias("s_start"), F.col("e").alias("s_end"), F.col("role").alias("o_file"), (F.col("turn") * 10_000).alias("o_start"), (F.col("turn") * 10_000 + F.col("size")).alias("o_end"))
+    # each turn has the declarations that start behind its first place and up to its end, the first turn that at zero too
+    first, last = F.expr("IF(b = 0, 0L, (b div 120 + 1) * 120)"), F.expr("e div 120 * 120")
+    declarations = turns.select("file", F.explode(F.when(first <= last, F.sequence(first, last, F.lit(120).cast("long")))).alias("s"))
     s = F.col("s")
     ranges = provenance.range_columns(declarations, "declarations", "file", ["file", "s"], {"range": (s, s + 120), "name_range": (s + 5, s + 25), "attribute": (s + 100, s + 140)})
-    mapped, gaps = provenance.remap_ranges(ranges, segments)
-    nothing = F.lit(None)
-    lost = gaps.select("key", "column", "r_start", "r_end", nothing.cast("string").alias("o_file"), nothing.cast("long").alias("o_start"), nothing.cast("long").alias("o_end"))
-    return mapped.select("key", "column", "r_start", "r_end", "o_file", "o_start", "o_end").unionByName(lost)
+    return provenance.remapped(ranges, segments, parts=parts).select("key", "column", "r_start", "r_end", "o_file", "o_start", "o_end")
 
 
 def include_stack(spark: SparkSession, d: str) -> DataFrame:

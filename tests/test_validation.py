@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import ids, target_rules
 from lodestrand.operators import envelope, merging, provenance, validation
+from lodestrand.plans import package_queries
 
 FILE = "position long, id string, logical_path string, byte_len long, line_starts array<long>, role string"
 INPUT = "list string, position long, id string, name string, value string"
@@ -158,6 +159,29 @@ def test_ranges_of_several_tables_in_one_join(spark):
     assert provenance.gap_diagnostics(gaps).where("impact = 1 AND code = 'P2000'").count() == 2
 
 
+def test_every_range_is_mapped_or_lost_in_one_pass(spark):
+    segments = spark.createDataFrame([("g", 0, 10, "a.h", 100, 110), ("g", 10, 20, "a.h", 300, 310), ("g", 22, 22, "a.h", 0, 0)], "file string, s_start long, s_end long, o_file string, o_start long, o_end long")
+    given = [("d", "g", "across", 9, 11), ("d", "g", "long", 0, 20), ("d", "g", "out", 15, 25), ("d", "g", "empty", 5, 5), ("d", "g", "behind", 40, 50), ("d", "h", "elsewhere", 0, 5), ("d", None, "nowhere", 0, 5), ("e", "g", "across", 9, 11)]
+    ranges = spark.createDataFrame(given, "table string, file string, key string, r_start long, r_end long").withColumn("column", F.lit("c"))
+    for parts in (None, 7):
+        out = provenance.remapped(ranges, segments, 4, parts)
+        got = {(r.table, r.file, r.key): (r.o_file, r.o_start, r.o_end) for r in out.collect()}
+        lost = (None, None, None)
+        assert got == {(t, f, k): ("a.h", 100, 310) if k in ("across", "long") else lost for t, f, k, _, _ in given} and out.count() == len(given)
+    assert out.rdd.getNumPartitions() == 7
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_ranges_of_conversations_are_dealt_by_turns(spark, tmp_path, monkeypatch):
+    turns = [(c, t, "user", "x" * (70 * t + c)) for c in range(12) for t in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(package_queries, "TURNS", 4, raising=False)
+    out = package_queries.package_remap(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == 13  # as many as turns ask for, however few bytes they are
+    starts = sum(len(range(0, sum(70 * t + c for t in range(4)) + 1, 120)) for c in range(12))
+    assert out.count() == 3 * starts and out.where("o_file IS NOT NULL").count() > starts
+
+
 def test_include_stacks(spark):
     text = 'x\n# 1 "m.c"\na\n# 1 "h\\"1" 1\nb\nc\n# 7 "deep" 1 3\nd\n# 3 "h\\"1" 2\ne\n# 9 "m.c" 2\nf\n# 1 "m.c" 2\ng\n# 5 "q" 1 2\nh\n#12 "no"'
     texts = spark.createDataFrame([(1, text), (2, ""), (3, None)], "k long, t string")
