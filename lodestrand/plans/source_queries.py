@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.csource import conditions
-from lodestrand.csource.lexing import lexemes, tokenize
+from lodestrand.csource.lexing import kind_totals, lexemes
 from lodestrand.operators import source_scan
 from lodestrand.operators.packages import Package
 from lodestrand.sources.tables import table
@@ -18,11 +18,7 @@ def lexer_kinds(spark: SparkSession, d: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            seen: dict[str, list[int]] = {}
-            for text in batch.column("text").to_pylist():
-                for t in tokenize(text or ""):
-                    n = seen.setdefault(t.kind, [0, 0])
-                    n[0], n[1] = n[0] + 1, n[1] + t.end - t.start
+            seen = kind_totals(text or b"" for text in batch.column("text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([n[0] for n in seen.values()], pa.int64()), pa.array([n[1] for n in seen.values()], pa.int64())], ["kind", "n", "n_bytes"])
 
     counted = table(spark, d, "documents").select("text").mapInArrow(run, "kind string, n long, n_bytes long")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from random import Random
+
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.csource import conditions
+from lodestrand.csource import conditions, lexing
 from lodestrand.csource.lexing import lexemes, line_starts, text_of, tokenize
 from lodestrand.csource.macros import arguments, parse_definition, value_and_category
 from lodestrand.csource.preprocess import Config, Limits, Unit, unsafe_spelling
@@ -40,6 +42,19 @@ def test_continued_lines_keep_byte_ranges():
     assert line_starts(b"a\n\nb") == [0, 2, 3]
 
 
+def test_totals_by_kind_make_no_tokens(monkeypatch):
+    pieces = ["u8", "L", '"', "'", "\\", "\n", "\r", " ", "\t", "\x0b", "\x00", "\x85", "é日", "a_9", "x", ".", "5", "e+", "//", "/*", "*/", "#", "##", "<<", "=", "!", "->", "-", "&", ",", ";", "(", "@", "`", "word word. ", "\\\n", "\\\r\n"]
+    random = Random(11)
+    texts = ["", "\0", 'L"a" xL"b" u8\'c\' don\'t', "a  b\n\n .5 .b !=! !"] + ["".join(random.choices(pieces, k=random.randint(1, 30))) for _ in range(3000)]
+    want = {}
+    for t in (t for text in texts for t in tokenize(text)):
+        seen = want.setdefault(t.kind, [0, 0])
+        seen[0], seen[1] = seen[0] + 1, seen[1] + t.end - t.start
+    assert lexing.kind_totals(t.encode() for t in texts) == want
+    monkeypatch.setattr(lexing, "Token", None)
+    assert lexing.kind_totals([b"int caf\xc3\xa9, x.y;\n#if 1 // c\n"]) == {"identifier": [5, 10], "space": [4, 4], "punctuation": [4, 5], "newline": [2, 2], "hash": [1, 1], "number": [1, 1], "line_comment": [1, 4]}
+
+
 @pytest.mark.parametrize(
     ("text", "lenient", "checked", "constant"),
     [
