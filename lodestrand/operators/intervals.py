@@ -14,7 +14,7 @@ def overlap_join(ranges: DataFrame, segments: DataFrame, by: Sequence[str], widt
 
     Both sides are dealt to bins of ``width``; a pair is kept in the first bin it shares, so the join is an
     equi-join and gives each pair once. With ``unmet`` a range also stays, with nulls for the segment, for each of its bins
-    without a pair; an empty one stays once; the join then has ``parts`` partitions, if given, which are not joined to larger ones.
+    without a pair; an empty one stays once. The join has ``parts`` partitions at least, if given, which are not joined to larger ones.
     """
     bins = lambda s, e: F.sequence(F.floor(F.col(s) / width), F.floor((F.greatest(F.col(e), F.col(s) + 1) - 1) / width))
     if unmet:
@@ -29,6 +29,8 @@ def overlap_join(ranges: DataFrame, segments: DataFrame, by: Sequence[str], widt
         return left.join(right, met, "left").drop("_bin", "_in", *[f"_{c}" for c in by])
     left = ranges.where("r_start < r_end").withColumn("_bin", F.explode(bins("r_start", "r_end")))
     right = segments.where("s_start < s_end").withColumn("_bin", F.explode(bins("s_start", "s_end")))
+    if parts:
+        left, right = left.repartition(parts, *by, "_bin"), right.repartition(parts, *by, "_bin")
     pairs = left.join(right, [*by, "_bin"]).where("r_start < s_end AND s_start < r_end")
     return pairs.where(F.col("_bin") == F.floor(F.greatest("r_start", "s_start") / width)).drop("_bin")
 
@@ -39,12 +41,14 @@ def uncontained(children: DataFrame, parents: DataFrame, by: Sequence[str], key:
     return children.join(inside, key, "left_anti")
 
 
-def remap(ranges: DataFrame, segments: DataFrame, by: Sequence[str], range_key: Sequence[str], same: Sequence[str], width: int) -> DataFrame:
+def remap(ranges: DataFrame, segments: DataFrame, by: Sequence[str], range_key: Sequence[str], same: Sequence[str], width: int, parts: int | None = None) -> DataFrame:
     """Hull of the segments that a range overlaps, if they agree in ``same``; ranges that don't map are absent.
 
-    Segments carry (o_start, o_end), where they are from.
+    Segments carry (o_start, o_end), where they are from. Join and grouping have ``parts`` partitions at least, if given.
     """
-    pairs = overlap_join(ranges, segments, by, width)
+    pairs = overlap_join(ranges, segments, by, width, parts=parts)
+    if parts:
+        pairs = pairs.repartition(parts, *by, *range_key)
     out = pairs.groupBy(*by, *range_key).agg(F.count_distinct(F.struct(*same)).alias("_kinds"), *[F.min(c).alias(c) for c in same], F.min("o_start").cast("long").alias("o_start"), F.max("o_end").cast("long").alias("o_end"))
     return out.where("_kinds = 1").drop("_kinds")
 

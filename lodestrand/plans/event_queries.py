@@ -15,6 +15,10 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events")
 
 
+#: Turns of conversations in one task of ``provenance_remap``.
+TURNS = 10_000
+
+
 def duplicate_ordinals(spark: SparkSession, d: str) -> DataFrame:
     return ordered.duplicate_ordinals(_events(spark, d), ["user_id", "event_type"], ORDER).select("event_id", "ordinal")
 
@@ -71,11 +75,15 @@ def range_containment(spark: SparkSession, d: str) -> DataFrame:
 
 def provenance_remap(spark: SparkSession, d: str) -> DataFrame:
     """Each conversation, cut into ranges of 120 code points to its end, mapped back through its turns, where one role covers a range."""
-    turns = ordered.running_total(table(spark, d, "conversations"), ["conv_id"], ["turn"], F.length("text"), "e")
-    segments = turns.select("conv_id", "role", (F.col("e") - F.length("text")).cast("long").alias("s_start"), F.col("e").alias("s_end"), (F.col("turn") * 10_000).alias("o_start"), (F.col("turn") * 10_000 + F.length("text")).alias("o_end"))
-    length = table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n")).where("n > 0")
-    ranges = length.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(120).cast("long"))).alias("r_start")).withColumn("r_end", F.col("r_start") + 120)
-    return intervals.remap(ranges, segments, ["conv_id"], ["r_start"], ["role"], 512)
+    conv = table(spark, d, "conversations")
+    parts = conv.count() // TURNS + 1  # a turn becomes several rows, so turns are bounded, not the bytes that a task reads
+    sizes = conv.select("conv_id", "turn", "role", F.length("text").cast("long").alias("size")).repartition(parts, "conv_id")
+    turns = ordered.running_total(sizes, ["conv_id"], ["turn"], F.col("size"), "e").where("size > 0").withColumn("b", F.col("e") - F.col("size"))
+    segments = turns.select("conv_id", "role", F.col("b").alias("s_start"), F.col("e").alias("s_end"), (F.col("turn") * 10_000).alias("o_start"), (F.col("turn") * 10_000 + F.col("size")).alias("o_end"))
+    # each turn has the ranges that start in it
+    first, last = F.expr("(b + 119) div 120 * 120"), F.expr("(e - 1) div 120 * 120")
+    ranges = turns.select("conv_id", F.explode(F.when(first <= last, F.sequence(first, last, F.lit(120).cast("long")))).alias("r_start")).withColumn("r_end", F.col("r_start") + 120)
+    return intervals.remap(ranges, segments, ["conv_id"], ["r_start"], ["role"], 512, parts)
 
 
 def diagnostics_dedup(spark: SparkSession, d: str) -> DataFrame:

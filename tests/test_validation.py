@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import ids, target_rules
 from lodestrand.operators import envelope, merging, provenance, validation
-from lodestrand.plans import package_queries
+from lodestrand.plans import event_queries, package_queries
 
 FILE = "position long, id string, logical_path string, byte_len long, line_starts array<long>, role string"
 INPUT = "list string, position long, id string, name string, value string"
@@ -180,6 +180,10 @@ def test_ranges_of_conversations_are_dealt_by_turns(spark, tmp_path, monkeypatch
     assert out.rdd.getNumPartitions() == 13  # as many as turns ask for, however few bytes they are
     starts = sum(len(range(0, sum(70 * t + c for t in range(4)) + 1, 120)) for c in range(12))
     assert out.count() == 3 * starts and out.where("o_file IS NOT NULL").count() > starts
+    monkeypatch.setattr(event_queries, "TURNS", 4, raising=False)
+    cut = event_queries.provenance_remap(spark, str(tmp_path))
+    assert cut.rdd.getNumPartitions() == 13
+    assert cut.count() == sum(len(range(0, sum(70 * t + c for t in range(4)), 120)) for c in range(12))
 
 
 def test_include_stacks(spark):
